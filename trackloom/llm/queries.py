@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from trackloom.llm import decontamination, mixing, personal_data, secret_scan
+from trackloom.llm import decontamination, mixing, personal_data, quality, secret_scan, token_tables
 
 QUERIES = {
     "op1_mixing": mixing.op1,
+    "op2_quality_classifier": quality.op2,
+    "op4_token_tables": token_tables.op4,
     "op5_secret_scan": secret_scan.op5,
     "op6_personal_data": personal_data.op6,
     "op8_benchmark_decontamination": decontamination.op8,
