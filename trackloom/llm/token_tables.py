@@ -26,7 +26,7 @@ import uuid
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right
-from collections import ChainMap
+from collections import ChainMap, Counter
 from itertools import chain
 from typing import NamedTuple
 
@@ -49,6 +49,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Bytes as the symbols of byte-level models: printable Latin-1 characters stand for themselves, the others for 256 and up in order.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SYMBOLS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _MARKS = b".,!?;:()*#$%&|\""
 
 
@@ -59,7 +62,7 @@ class WordEncoder:
     a text's ids are those of its words, and a word's are those of its marks and letters. Two bounded caches keep them.
     """
 
-    MOST_WORDS, MOST_PIECES = 700_000, 800_000
+    MOST_HOT, MOST_WORDS, MOST_PIECES = 30_000, 900_000, 800_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,44 +70,66 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.kind = "H" if self.width == 2 else "I"
+        self.hot: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[bytes, bytes] = {b"": b""}
         probe = self.tokenizer.encode("AB, cd", add_special_tokens=False).ids
-        self.plain = probe == [i for w in ("ab", ",", "cd") for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
+        #: Whether the tokenizer lower-cases and splits in the way that parts() takes for granted.
+        self.plain = probe == [t.id for w in ("ab", ",", "cd") for t in self.tokenizer.model.tokenize(w)]
 
-    def parts(self, word: bytes) -> tuple[bytes, bytes, bytes]:
-        """Marks, letters and marks; a word of another build is one part."""
+    def parts(self, word: bytes) -> tuple[bytes, ...]:
+        """Marks, letters and marks, or the whole word where it has another build."""
         tail = word.lstrip(_MARKS)
         core = tail.rstrip(_MARKS)
-        if self.plain and (core.isalpha() or unicodedata.normalize("NFC", core.decode()).lower().isalpha()):
+        if core.isalpha() or (not core.isascii() and self.latin(core)):
             return word[: len(word) - len(tail)], core, tail[len(core) :]
-        return b"", word, b""
+        return (word,)
+
+    @staticmethod
+    def latin(core: bytes) -> str:
+        """The normalised letters as the model's byte symbols; empty if they aren't all Latin letters."""
+        letters = unicodedata.normalize("NFC", core.decode()).lower()
+        return letters.encode().decode("latin-1").translate(_SYMBOLS) if letters.isalpha() and max(letters) < "\u0250" else ""
+
+    def piece(self, piece: bytes) -> bytes:
+        """The ids of a run of letters or of marks: the library's model alone, as normaliser and splitter would leave it whole."""
+        symbols = piece.lower().decode() if piece.isascii() else self.latin(piece)
+        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
 
     def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
-        split = {w: self.parts(w) for w in new}
-        pieces = list({p for x in split.values() for p in x}.difference(self.pieces))
-        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        kind = "H" if self.width == 2 else "I"
-        fresh = {p: array(kind, e.ids).tobytes() for p, e in zip(pieces, encoded, strict=True)}
+        split = {w: self.parts(w) if self.plain else (w,) for w in new}
+        fresh = {p: self.piece(p) for p in {p for x in split.values() if len(x) == 3 for p in x}.difference(self.pieces)}
+        odd = [x[0] for x in split.values() if len(x) == 1]
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)
+        whole = {w: array(self.kind, e.ids).tobytes() for w, e in zip(odd, encoded, strict=True)}
         if len(self.pieces) < self.MOST_PIECES:
             self.pieces.update(fresh)
             known = self.pieces
         else:
             known = ChainMap(fresh, self.pieces)
-        return {w: known[a] + known[b] + known[c] for w, (a, b, c) in split.items()}
+        return {w: known[x[0]] + known[x[1]] + known[x[2]] if len(x) == 3 else whole[w] for w, x in split.items()}
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         # Lower case first, as the normaliser does for A-Z, except where special tokens might be meant.
         lists = [(t.lower() if self.plain and b"<|" not in t else t).split() if t else [] for t in texts]
         flat = list(chain.from_iterable(lists))
-        found = list(map(self.words.get, flat))
-        new = [i for i, x in enumerate(found) if x is None]
+        found = list(map(self.hot.get, flat))
+        rest = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in rest:
+            x = found[i] = self.words.get(flat[i])
+            if x is None:
+                new.append(i)
         if new:
             fresh = self.learn({flat[i] for i in new})
             for i in new:
                 found[i] = fresh[flat[i]]
             if len(self.words) < self.MOST_WORDS:
                 self.words.update(fresh)
+        if not self.hot and len(self.words) > self.MOST_HOT:
+            # The most frequent words again, side by side in memory, in a table that fits the processor's cache.
+            self.hot = {bytes(bytearray(w)): bytes(bytearray(x)) for (w, x), _ in Counter(zip(flat, found, strict=True)).most_common(self.MOST_HOT)}
         out, at = [], 0
         for x in lists:
             out.append(b"".join(found[at : at + len(x)]))
