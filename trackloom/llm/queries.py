@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from trackloom.llm import decontamination, mixing, personal_data, quality, secret_scan, token_tables
+from trackloom.llm import decontamination, language_id, mixing, personal_data, quality, secret_scan, token_tables, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_quality_classifier": quality.op2,
+    "op3_url_filter": url_filter.op3,
     "op4_token_tables": token_tables.op4,
     "op5_secret_scan": secret_scan.op5,
     "op6_personal_data": personal_data.op6,
+    "op7_language_id": language_id.op7,
     "op8_benchmark_decontamination": decontamination.op8,
 }
 ORACLE = {"op8_benchmark_decontamination": decontamination.OP8_SQL}
