@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackloom.llm import decontamination, jaccard_join, language_id, mixing, personal_data, quality, secret_scan, token_tables, url_filter
+from trackloom.llm import decontamination, embedding_dedup, jaccard_join, language_id, mixing, personal_data, quality, secret_scan, token_tables, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_language_id": language_id.op7,
     "op8_benchmark_decontamination": decontamination.op8,
     "op9_jaccard_join": jaccard_join.op9,
+    "op10_embedding_dedup": embedding_dedup.op10,
 }
 ORACLE = {"op8_benchmark_decontamination": decontamination.OP8_SQL}
