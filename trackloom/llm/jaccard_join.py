@@ -38,7 +38,7 @@ COUNTED = 0.25
 MOST_FREQUENT = 1_000_000
 #: So many ids are broadcast at most, to fetch the sets of candidates; more are fetched by a shuffled join.
 MOST_IDS = 4_000_000
-BLOCK = 1024
+BLOCK = 384
 STEPS = 16
 _FLAG = np.int64(1 << 62)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -186,7 +186,7 @@ def verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame
     return sized.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(work, "src long, dst long")
 
 
-def forest(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, halves: np.ndarray, t: tuple[int, int]) -> list[tuple[int, int]]:
+def forest(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, t: tuple[int, int]) -> list[tuple[int, int]]:
     """A spanning forest of the links among the block's documents; pairs of one group are linked already."""
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -197,18 +197,24 @@ def forest(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], sizes: n
     both = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(token, kind="stable")
     token, row = token[order], row[order]
-    for a in range(0, width, 4096):
-        i, j = np.searchsorted(token, (a, a + 4096))
-        part = np.zeros((len(sets), 4096), np.float32)
+    for a in range(0, width, 2048):
+        i, j = np.searchsorted(token, (a, a + 2048))
+        part = np.zeros((len(sets), 2048), np.float32)
         part[row[i:j], token[i:j] - a] = 1
         both += part @ part.T
-    linked = t[1] * both >= t[0] * (sizes[:, None] + sizes[None, :] - both)
-    same = groups[:, None] == groups[None, :]
-    linked |= same
+    # t1 both >= t0 (na + nb - both); all numbers are whole and far below the limits of float32
+    both *= t[0] + t[1]
+    sizes = (t[0] * sizes).astype(np.float32)
+    linked = both >= sizes[:, None] + sizes[None, :]
+    del both
+    linked |= groups[:, None] == groups[None, :]
+    i, j = np.nonzero(linked)
+    del linked
     root = np.arange(len(ids))
     while True:  # the smallest place that links reach
-        new = np.where(linked, root[None, :], len(ids)).min(1)
-        new = np.minimum(new, root)[np.minimum(new, root)]
+        new = root.copy()
+        np.minimum.at(new, i, root[j])
+        new = new[new]
         if (new == root).all():
             break
         root = new
@@ -220,12 +226,12 @@ def in_blocks(members: DataFrame, t: tuple[int, int]) -> DataFrame:
     count = F.ceil(F.col("c") / BLOCK).cast("int")
     placed = members.withColumn("nb", count).withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    placed = placed.select("token", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "b", "id", "comp", "n", "set")
+    placed = placed.select("token", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "id", "comp", "n", "set")
 
     def work(keys, pdf):
         import pandas as pd
 
-        found = forest(pdf["id"].to_numpy(), pdf["comp"].to_numpy(), [unpack(s) for s in pdf["set"]], pdf["n"].to_numpy(), pdf["b"].to_numpy(), t)
+        found = forest(pdf["id"].to_numpy(), pdf["comp"].to_numpy(), [unpack(s) for s in pdf["set"]], pdf["n"].to_numpy(), t)
         return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
 
     return placed.groupBy("token", "b1", "b2").applyInPandas(work, "src long, dst long")
