@@ -70,12 +70,22 @@ class Model:
             ok = [scripts[x].get(s, 0) >= MIN_SCRIPT * sum(scripts[x].values()) for x in self.languages]
             self.allowed[s] = np.where(ok, 0.0, FOREIGN) if any(ok) else np.zeros(len(ok))
 
-    def word(self, word: str) -> np.ndarray:
-        narrowed = self.allowed.get(script(word))
-        if narrowed is None:
-            return np.zeros(len(self.languages))
-        unknown = len(self.gram)
-        return self.table[[self.gram.get(g, unknown) for g in trigrams(word)]].sum(0) + narrowed
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row of log-likelihoods for each word; zeros for scripts that no language has."""
+        get, unknown = self.gram.get, len(self.gram)
+        grams, lengths, narrowed = [], [], []
+        none = np.full(len(self.languages), np.nan)
+        for w in words:
+            padded = f"^{w}$"
+            grams += [get(padded[i : i + 3], unknown) for i in range(len(w))]
+            lengths.append(len(w))
+            narrowed.append(self.allowed.get("latin" if w.isascii() else script(w), none))
+        if not words:
+            return np.zeros((0, len(self.languages)))
+        starts = np.cumsum([0, *lengths[:-1]])
+        out = np.add.reduceat(self.table[grams], starts, axis=0) + np.array(narrowed)
+        out[np.isnan(out).any(1)] = 0.0
+        return out
 
 
 class Labeller:
@@ -92,13 +102,15 @@ class Labeller:
         self.rows = np.zeros((1 << 12, len(self.model.languages) + 1))
 
     def numbers(self, tokens: list[str]) -> np.ndarray:
-        for t in set(tokens).difference(self.number):
-            k = self.number[t] = len(self.number)
-            if k >= len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            word = letters(t)
-            self.rows[k, :-1] = self.model.word(word) if word else 0.0
-            self.rows[k, -1] = len(word)
+        new = list(set(tokens).difference(self.number))
+        at = len(self.number)
+        self.number.update(zip(new, range(at, at + len(new)), strict=True))
+        while at + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        words = [letters(t) for t in new]
+        self.rows[at : at + len(new), -1] = [len(w) for w in words]
+        real = [k for k, w in enumerate(words) if w]
+        self.rows[at + np.array(real, np.int64), :-1] = self.model.scores([words[k] for k in real])
         return np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
 
     def paths(self, texts: list[str | None]):
@@ -122,7 +134,7 @@ class Labeller:
         low = np.minimum(0.0, np.minimum.accumulate(np.concatenate([np.zeros((1, run.shape[1])), run[:-1]]), axis=0))
         if (run - low).max() <= self.penalty:
             return np.full(len(s), best)
-        return viterbi(s, self.penalty)
+        return viterbi_of_few(s, self.penalty) if s.shape[1] <= 12 else viterbi(s, self.penalty)
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out = []
@@ -153,6 +165,29 @@ def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
     return out
 
 
+def viterbi_of_few(s: np.ndarray, penalty: float) -> np.ndarray:
+    """The same for few states, on plain numbers."""
+    rows = s.tolist()
+    v, back = rows[0], []
+    for row in rows[1:]:
+        top = max(v)
+        cut = top - penalty
+        if min(v) >= cut:
+            back.append(None)
+            v = [a + b for a, b in zip(v, row, strict=False)]
+        else:
+            k = v.index(top)
+            back.append([k if a < cut else i for i, a in enumerate(v)])
+            v = [(cut if a < cut else a) + b for a, b in zip(v, row, strict=False)]
+    k = v.index(max(v))
+    out = [k]
+    for from_ in reversed(back):
+        if from_ is not None:
+            k = from_[k]
+        out.append(k)
+    return np.array(out[::-1])
+
+
 def fit(docs: DataFrame, *, learn_from: Column | None = None, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, min_share: float = MIN_SHARE) -> Model:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where("_lang is not null")
     rows = rows.where(learn_from) if learn_from is not None else rows
