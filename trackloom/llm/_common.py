@@ -64,3 +64,47 @@ def chunks(sizes: list[int], most: int):
 def of_kind(kind: str):
     """A test of an array's elements."""
     return lambda x: x["kind"] == kind
+
+
+_SLOT: tuple = (None, None)
+
+
+def worker_cache(key, make):
+    """A Python worker's cache of words. Workers live on from one operator to the next, so each keeps that of one operator only."""
+    global _SLOT
+    if _SLOT[0] != key:
+        _SLOT = (None, None)
+        _SLOT = (key, make())
+    return _SLOT[1]
+
+
+#: Rows that go to a Python worker at once. Texts are long, so a worker's memory is mostly that of one batch.
+BATCH_ROWS = 1000
+
+
+def map_arrow(df: DataFrame, work, schema, cache=None) -> DataFrame:
+    """mapInArrow in batches of bounded size, in a worker that keeps no cache but that of this key."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) > BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+
+    def run(batches):
+        from trackloom.llm import _common
+
+        if _common._SLOT[0] != cache:
+            _common._SLOT = (None, None)
+            _common.give_back()
+        yield from work(batches)
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

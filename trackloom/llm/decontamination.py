@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackloom.llm._common import chunks, materialize, texts_of
+from trackloom.llm._common import chunks, map_arrow, materialize, texts_of
 
 #: Bytes to words: word bytes map to themselves in lower case, all others to a space.
 _WORD_BYTES = bytes(
@@ -152,7 +152,7 @@ def _pass(docs: DataFrame, windows: WindowSet, text_col: str) -> DataFrame:
             columns[k] = pa.array(out, batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(work, schema)
+    return map_arrow(docs, work, schema)
 
 
 def ranges(numbers: list[int]) -> list[list[int]]:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm._common import materialize
+from trackloom.llm._common import map_arrow, materialize
 from trackloom.llm.components import components
 
 COSINE = 0.98
@@ -166,7 +166,7 @@ def searched(classes: DataFrame, count: int, cosine: float) -> DataFrame:
                 names=["label", "cid", "copies", "cell", "codes", "error", "raw", "probes"],
             )
 
-    coded = classes.select("label", "cid", "copies", "v").mapInArrow(encode, "label string, cid long, copies long, cell int, codes binary, error double, raw binary, probes array<int>")
+    coded = map_arrow(classes.select("label", "cid", "copies", "v"), encode, "label string, cid long, copies long, cell int, codes binary, error double, raw binary, probes array<int>")
     coded = materialize(coded, "coded-vectors")
     asked = coded.select("label", "cid", "copies", "raw", (F.col("cell")).alias("home"), F.explode("probes").alias("cell"))
     blocks = lambda d, name: d.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))

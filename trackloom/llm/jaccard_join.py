@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm._common import chunks, materialize, texts_of
+from trackloom.llm._common import chunks, map_arrow, materialize, texts_of, worker_cache
 from trackloom.llm.components import components
 
 SHINGLE = 5
@@ -50,21 +50,18 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 600_000:
+        if len(self) > 400_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_WORDS = WordHashes()
-
-
 def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     """The set: sorted distinct 62-bit hashes of runs of k words, A-Z lower-cased; of all words if there are fewer."""
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.int64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(worker_cache("shingles", WordHashes).__getitem__, words), np.uint64, len(words))
     k = min(k, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for j in range(k):
@@ -91,7 +88,7 @@ def mapped(docs: DataFrame, work, schema: str) -> DataFrame:
             for a, b in chunks([len(t or b"") for t in texts], 4 << 20):
                 yield pa.RecordBatch.from_arrays(work(batch.column(0).slice(a, b - a), [shingles(t) for t in texts[a:b]]), names=names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema, "shingles")
 
 
 def listed(arrays: list[np.ndarray]):
@@ -183,7 +180,7 @@ def verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame
             ok = t[1] * both >= t[0] * (nx + ny - both)
             yield pa.RecordBatch.from_arrays([pa.array(x[ok]), pa.array(y[ok])], names=["src", "dst"])
 
-    return sized.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(work, "src long, dst long")
+    return map_arrow(sized.select("x", "y", "nx", "ny", "sx", "sy"), work, "src long, dst long")
 
 
 def forest(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, t: tuple[int, int]) -> list[tuple[int, int]]:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm._common import chunks, crc_mod
+from trackloom.llm._common import chunks, crc_mod, map_arrow
 
 PER_LANGUAGE = 2500
 MIN_SHARE = 0.001
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, *, learn_from: Column | None = None, lang_col: str = "l
         keys = list(out)
         yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(3)), pa.array(list(out.values()), pa.int64())], names=["lang", "kind", "value", "n"])
 
-    found = drawn.mapInArrow(count, "lang string, kind string, value string, n long").groupBy("lang", "kind", "value").agg(F.sum("n").alias("n"))
+    found = map_arrow(drawn, count, "lang string, kind string, value string, n long").groupBy("lang", "kind", "value").agg(F.sum("n").alias("n"))
     counts: dict = {x: {} for x in share}
     scripts: dict = {x: {} for x in share}
     for r in found.where("n > 1 or kind = 'script'").toLocalIterator():
@@ -252,7 +252,7 @@ def label(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[
                 arrays.append(pa.array(ranges, to_arrow_type(schema["lang_spans"].dataType)))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return columns.mapInArrow(work, schema)
+    return map_arrow(columns, work, schema)
 
 
 def runs(path: np.ndarray, languages: list[str]) -> list[dict]:

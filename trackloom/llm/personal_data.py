@@ -16,7 +16,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm._common import of_kind
+from trackloom.llm._common import map_arrow, of_kind
 
 KINDS = ("email", "ip", "card", "phone")
 FURTHER = ("iban", "ssn")
@@ -136,7 +136,7 @@ def scan_personal_data(docs: DataFrame, *, text_col: str = "text", keep: tuple[s
             found = [[dict(zip(("kind", "start", "end", "score"), x, strict=True)) for x in find(t)] for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, to_arrow_type(schema["found"].dataType))], names=schema.names)
 
-    return columns.mapInArrow(work, schema)
+    return map_arrow(columns, work, schema)
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm._common import chunks, of_kind, texts_of
+from trackloom.llm._common import chunks, map_arrow, of_kind, texts_of, worker_cache
 
 # --- regex -> automaton -------------------------------------------------------------------------------------------------
 
@@ -351,14 +351,9 @@ class Scanner:
         return out
 
 
-_SCANNERS: dict[tuple, Scanner] = {}
-
-
 def scanner(rules: tuple[Rule, ...] = RULES) -> Scanner:
-    """Compiled once per Python worker."""
-    if rules not in _SCANNERS:
-        _SCANNERS[rules] = Scanner(rules)
-    return _SCANNERS[rules]
+    """Compiled once per Python worker, while it scans."""
+    return worker_cache(("secrets", rules), lambda: Scanner(rules))
 
 
 def scan_secrets(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -375,7 +370,7 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ..
             found = [[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in s.scan(texts_of(batch, "_text_to_scan"))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, to_arrow_type(schema["secrets"].dataType))], names=schema.names)
 
-    return columns.mapInArrow(work, schema)
+    return map_arrow(columns, work, schema, ("secrets", rules))
 
 
 def op5(spark, sf_dir) -> DataFrame:

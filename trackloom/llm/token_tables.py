@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm._common import chunks, scratch_path, texts_of
+from trackloom.llm._common import chunks, map_arrow, scratch_path, texts_of, worker_cache
 
 MAGIC = b"TLSST001"
 FOOTER = struct.Struct("<QQQQQQIIII8s")
@@ -62,7 +62,7 @@ class WordEncoder:
     a text's ids are those of its words, and a word's are those of its marks and letters. Two bounded caches keep them.
     """
 
-    MOST_HOT, MOST_WORDS, MOST_PIECES = 30_000, 900_000, 800_000
+    MOST_HOT, MOST_WORDS, MOST_PIECES = 30_000, 700_000, 700_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -137,14 +137,9 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """Loaded once per Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """Loaded once per Python worker, while it encodes."""
+    return worker_cache(("encoder", path), lambda: WordEncoder(path))
 
 
 def key_of(identifier: int | str | None) -> bytes:
@@ -341,7 +336,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: i
             row = Shard(number, f"{path}/shard-{number:06d}.sst", writer.docs, writer.ids, writer.low, writer.high)
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row[:4]] + [pa.array([x], pa.binary()) for x in row[4:]], names=list(Shard._fields))
 
-    found = placed.mapInArrow(work, "number long, path string, docs long, ids long, low binary, high binary").collect()
+    found = map_arrow(placed, work, "number long, path string, docs long, ids long, low binary, high binary", ("encoder", name)).collect()
     return sorted(Shard(r.number, r.path, r.docs, r.ids, bytes(r.low), bytes(r.high)) for r in found)
 
 
@@ -383,7 +378,7 @@ def read(spark: SparkSession, shards: list[Shard], *, with_ids: bool = True, id_
             arrays, names = [*arrays, pa.array(columns[4], pa.list_(pa.int64()))], [*names, "ids"]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return listed.mapInArrow(work, schema)
+    return map_arrow(listed, work, schema)
 
 
 def lookup(shards: list[Shard], identifier: int | str | None) -> list[np.ndarray]:
