@@ -187,7 +187,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     def cut(text, hits):
         import pandas as pd
 
-        return pd.Series([without(t, h) for t, h in zip(text, hits, strict=True)], dtype=object)
+        return pd.Series([without(t, h) if h is not None and len(h) else t for t, h in zip(text, hits, strict=True)], dtype=object)
 
     return scanned.withColumn(text_col, F.when(n_hit > 0, cut(F.col(text_col), F.col(f"{SCAN}.hits"))).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in columns])
 

@@ -126,8 +126,9 @@ def mix(docs: DataFrame, *, schedules: dict | None = None, total_share: float =
     words = F.round("target").cast("long")
     full = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
     before = F.col("ahead") + F.col("inside")
-    more = F.greatest(F.lit(0), F.least(F.col("size"), words - full * F.col("source_size") - before))
-    placed = placed.withColumn("taken", full * F.col("size") + more).withColumn("full", full).withColumn("copies", full + (2 * more >= F.greatest("size", F.lit(1))).cast("long"))
+    left = words - full * F.col("source_size") - before
+    more = F.greatest(F.lit(0), F.least(F.col("size"), left))
+    placed = placed.withColumn("taken", full * F.col("size") + more).withColumn("full", full).withColumn("copies", full + ((left > 0) & (2 * left >= F.col("size"))).cast("long"))
     share = before / F.col("target")
     grid = GRID
     step = F.greatest(F.lit(1), F.least(F.lit(grid), F.size(F.filter("curve", lambda x: x < share))))
