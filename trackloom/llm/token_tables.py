@@ -62,7 +62,7 @@ class WordEncoder:
     a text's ids are those of its words, and a word's are those of its marks and letters. Two bounded caches keep them.
     """
 
-    MOST_HOT, MOST_WORDS, MOST_PIECES = 30_000, 700_000, 700_000
+    MOST_HOT, MOST_WORDS, MOST_PIECES = 30_000, 1_000_000, 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
