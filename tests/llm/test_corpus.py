@@ -136,6 +136,21 @@ def test_language_held_out_and_mixed(spark):
     assert {s.lang for s in rows[0].lang_spans} >= {"en", "de"} and rows[1].lang_pred == rows[2].lang_pred == "und" and rows[2].score == 0
 
 
+def test_rare_languages_are_learned(spark):
+    rare = {"qa": ["vrizoq plumqat ojibwek", "quuzat miqloj"], "qb": ["hxubi wfolka"]}
+    rows = [(f"the other thing was there with them {i}", "en") for i in range(3000)] + [("", "qc"), ("12 --", "qc"), ("no label", None)]
+    rows += [(t, k) for k, x in rare.items() for t in x]
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.languages == ["en", "qa", "qb"] and "hxu" in model.gram
+    got = {r.doc_id: r.lang_pred for r in language_id.label(docs.where("doc_id >= 2998 and lang is not null"), model).collect()}
+    assert got == {2998: "en", 2999: "en", 3000: "und", 3001: "und", 3003: "qa", 3004: "qa", 3005: "qb"}
+    same = docs.where("lang = 'qb'").withColumn("doc_id", F.explode(F.sequence(F.lit(1), F.lit(40)))).withColumn("doc_id", F.lit(7))
+    assert language_id.fit(same, per_language=1).languages == ["qb"]
+    none = language_id.fit(docs.where("lang = 'qc'"))
+    assert {r.lang_pred for r in language_id.label(docs.limit(5), none).collect()} == {"und"}
+
+
 def test_viterbi_forms_agree_with_brute_force():
     rng = np.random.default_rng(0)
     lab = language_id.Labeller(language_id.Model({}, {}), 2.0)

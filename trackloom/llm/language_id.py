@@ -5,8 +5,10 @@ A word's score for a language is the log-likelihood of its character trigrams, l
 language is the one whose spans hold most letters, its score their share. Where no span of another language gains as much as
 one switch costs, the best path is one language throughout, and the recurrence is not run.
 
-Training reads about ``per_language`` labelled documents of each language, drawn by hash; languages under ``min_share`` of the
-labelled documents are not learned. Every document is labelled over its whole text.
+Training reads about ``per_language`` labelled documents of each language, drawn by hash from those with a letter; a language
+with fewer is learned from all of them. Every language with a labelled letter is learned, and every trigram drawn counts. What
+the model takes of the driver and the workers grows with the pairs of language and trigram that occur. Every document is
+labelled over its whole text.
 
 Defined results: null texts, empty texts and texts without a letter are ``und`` with score 0, and so is everything if no language
 was learned; words in scripts that no language has count for none; ties go to the first language by code point; repeated
@@ -26,9 +28,10 @@ from pyspark.sql import functions as F
 from trackloom.llm._common import chunks, crc_mod, map_arrow
 
 PER_LANGUAGE = 2500
-MIN_SHARE = 0.001
 PENALTY = 12.0
 FOREIGN = -18.0
+#: Counted for every trigram in every language.
+SMOOTH = 0.3
 MIN_SCRIPT = 0.02
 #: First code points of the script ranges, in order.
 _SCRIPTS = (
@@ -58,13 +61,20 @@ class Model:
 
     def __init__(self, counts: dict[str, dict[str, int]], scripts: dict[str, dict[str, int]]):
         self.languages = sorted(counts)
-        grams = sorted(set(chain.from_iterable(counts.values())))
-        self.gram = {g: i for i, g in enumerate(grams)}
-        table = np.zeros((len(grams) + 1, len(self.languages)))
+        self.gram: dict[str, int] = {}
+        number = self.gram.setdefault
+        places, columns, gains = [], [], []
         for k, lang in enumerate(self.languages):
-            for g, n in counts[lang].items():
-                table[self.gram[g], k] = n
-        self.table = np.log((table + 0.3) / (table.sum(0) + 0.3 * len(table)))
+            found = np.fromiter(counts[lang].values(), np.float64, len(counts[lang]))
+            places.append(np.fromiter((number(g, len(self.gram)) for g in counts[lang]), np.int64, len(found)))
+            columns.append(np.full(len(found), k, np.int64))
+            gains.append(np.log1p(found / SMOOTH))
+        # Of trigram g, the languages that have it and what it gains over an unseen one are at starts[g] to starts[g + 1].
+        place = np.concatenate([np.zeros(0, np.int64), *places])
+        order = np.argsort(place, kind="stable")
+        self.columns, self.gains = np.concatenate([np.zeros(0, np.int64), *columns])[order], np.concatenate([np.zeros(0), *gains])[order]
+        self.starts = np.searchsorted(place[order], np.arange(len(self.gram) + 2))
+        self.unseen = -np.log(np.array([sum(counts[x].values()) for x in self.languages]) / SMOOTH + len(self.gram) + 1)
         self.allowed = {}
         for s in {s for c in scripts.values() for s in c}:
             ok = [scripts[x].get(s, 0) >= MIN_SCRIPT * sum(scripts[x].values()) for x in self.languages]
@@ -82,8 +92,11 @@ class Model:
             narrowed.append(self.allowed.get("latin" if w.isascii() else script(w), none))
         if not words:
             return np.zeros((0, len(self.languages)))
-        starts = np.cumsum([0, *lengths[:-1]])
-        out = np.add.reduceat(self.table[grams], starts, axis=0) + np.array(narrowed)
+        grams, n = np.array(grams), len(self.languages)
+        begin, found = self.starts[grams], self.starts[grams + 1] - self.starts[grams]
+        at = np.repeat(begin + found - np.cumsum(found), found) + np.arange(found.sum())
+        cell = np.repeat(np.repeat(np.arange(len(words)) * n, lengths), found) + self.columns[at]
+        out = np.bincount(cell, self.gains[at], len(words) * n).reshape(len(words), n) + np.outer(lengths, self.unseen) + np.array(narrowed)
         out[np.isnan(out).any(1)] = 0.0
         return out
 
@@ -91,7 +104,8 @@ class Model:
 class Labeller:
     """Scores each distinct token once; a bounded cache keeps them."""
 
-    MOST = 400_000
+    #: Numbers in the cache: tokens times languages and one.
+    MOST = 2_000_000
 
     def __init__(self, model: Model, penalty: float = PENALTY):
         self.model, self.penalty = model, penalty
@@ -115,7 +129,7 @@ class Labeller:
 
     def paths(self, texts: list[str | None]):
         """For each text (letters by token, language number by token)."""
-        if len(self.number) > self.MOST:
+        if len(self.number) * (len(self.model.languages) + 1) > self.MOST:
             self.reset()
         lists = [t.split() if t else [] for t in texts]
         numbers = self.numbers(list(chain.from_iterable(lists)))
@@ -127,8 +141,8 @@ class Labeller:
             yield own[:, -1], self.path(own[:, :-1])
 
     def path(self, s: np.ndarray) -> np.ndarray:
-        if not len(s):
-            return np.zeros(0, np.int64)
+        if not s.size:
+            return np.zeros(len(s), np.int64)
         best = int(s.sum(0).argmax())
         run = np.cumsum(s - s[:, best, None], axis=0)
         low = np.minimum(0.0, np.minimum.accumulate(np.concatenate([np.zeros((1, run.shape[1])), run[:-1]]), axis=0))
@@ -188,18 +202,17 @@ def viterbi_of_few(s: np.ndarray, penalty: float) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def fit(docs: DataFrame, *, learn_from: Column | None = None, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, min_share: float = MIN_SHARE) -> Model:
+def fit(docs: DataFrame, *, learn_from: Column | None = None, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where("_lang is not null")
-    rows = rows.where(learn_from) if learn_from is not None else rows
-    sizes = rows.groupBy("_lang").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    # At most 1 / min_share languages pass.
-    share = {r["_lang"]: min(1.0, per_language / r["n"]) for r in sizes.where(F.col("n") >= min_share * total).collect()}
+    rows = (rows.where(learn_from) if learn_from is not None else rows).where(F.col("_text").rlike(r"\p{L}"))
+    draw = F.pmod(F.xxhash64(F.lit(29), "_id", "_text"), F.lit(1 << 30)) / float(1 << 30)
+    # Repeated rows are drawn together, so the first by hash is drawn in any case.
+    sizes = rows.groupBy("_lang").agg(F.count("*").alias("n"), F.min(draw).alias("low"))
+    share = {r["_lang"]: max(min(1.0, per_language / r["n"]), r["low"]) for r in sizes.collect()}
     if not share:
         return Model({}, {})
-    draw = F.pmod(F.xxhash64(F.lit(29), "_id", "_text"), F.lit(1 << 30)) / float(1 << 30)
     limits = docs.sparkSession.createDataFrame(list(share.items()), "_lang string, _share double")
-    drawn = rows.join(F.broadcast(limits), "_lang").where(draw < F.col("_share")).select("_lang", "_text")
+    drawn = rows.join(F.broadcast(limits), "_lang").where(draw <= F.col("_share")).select("_lang", "_text")
 
     def count(batches):
         import pyarrow as pa
@@ -220,7 +233,7 @@ def fit(docs: DataFrame, *, learn_from: Column | None = None, lang_col: str = "l
     found = map_arrow(drawn, count, "lang string, kind string, value string, n long").groupBy("lang", "kind", "value").agg(F.sum("n").alias("n"))
     counts: dict = {x: {} for x in share}
     scripts: dict = {x: {} for x in share}
-    for r in found.where("n > 1 or kind = 'script'").toLocalIterator():
+    for r in found.toLocalIterator():
         (scripts if r["kind"] == "script" else counts)[r["lang"]][r["value"]] = r["n"]
     known = [x for x in share if scripts[x]]
     return Model({x: counts[x] for x in known}, {x: scripts[x] for x in known})
@@ -240,10 +253,12 @@ def label(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[
         from pyspark.sql.pandas.types import to_arrow_type
 
         labeller = Labeller(shared.value)
+        # A word takes a number for each language.
+        most = min(2 << 20, (24 << 20) // (len(labeller.model.languages) + 8))
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             done, ranges = [], []
-            for i, j in chunks([len(t or "") for t in texts], 2 << 20):
+            for i, j in chunks([len(t or "") for t in texts], most):
                 done += labeller.label(texts[i:j])
                 if spans:
                     ranges += [runs(p, labeller.model.languages) if len(labeller.model.languages) else [] for _, p in labeller.paths(texts[i:j])]
