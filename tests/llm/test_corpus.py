@@ -227,6 +227,24 @@ def test_jaccard_join_against_brute_force(spark):
     assert jaccard_join.similar(docs.where("false")).count() == 0
 
 
+def test_jaccard_join_where_rows_share_an_id(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    near = lambda w: " ".join([*w[:-1], word()])
+    rows, e = [], [word() for _ in range(60)]
+    for k in range(10, 400, 10):  # three texts of an id, each with a near copy elsewhere
+        for j in range(3):
+            w = [word() for _ in range(60)]
+            rows += [(k, " ".join(w)), (k + 1 + j, near(w))]
+    rows += [(1000, " ".join(e)), (1001, near(e)), (1001, ""), (1002, None), (1002, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOCS)
+    want = {k: k // 10 * 10 for k, _ in rows} | {1001: 1000, 1002: 1002}
+    for frequent in (1, 40):
+        got = jaccard_join.similar(docs, frequent=frequent).collect()
+        assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
+    assert {r.doc_id for r in jaccard_join.keep_one(docs).collect()} == set(want.values())
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(0, 60) if i % 7] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(30)] + [(500, k) for k in range(501, 560)] + [(None, 1), (9, 9)]

@@ -1,6 +1,7 @@
 """N-gram Jaccard self-join by token-combination prefixes.
 
-A document's set holds the hashes of its distinct word shingles. Documents with equal sets are one class from the start.
+A document's set holds the hashes of its distinct word shingles. Rows with equal sets are one class from the start; classes
+are numbered, in the order of their smallest ids, so an id of several texts has several classes, each with its own set.
 
 Prefixes. Tokens are put in one global order, rare ones by hash and after them the frequent ones, which a first pass has counted.
 Two sets of similarity t must share a token among the first ``n - ceil(t n) + 1`` of each, so only those prefixes are indexed.
@@ -15,7 +16,7 @@ tasks return a spanning forest of the links they find, never the pairs. No pair
 Hashes of tokens have 62 bits in the index and 40 in the sets that are verified.
 
 Defined results: null texts and texts without words have empty sets, link with nothing and are components of their own; texts of
-fewer words than a shingle are one shingle; rows that share an id are one document; rows without an id are never
+fewer words than a shingle are one shingle; rows that share an id are one document, which links by each of its texts; rows without an id are never
 linked and have no component; an empty table gives an empty result; other columns are not read.
 """
 
@@ -118,10 +119,9 @@ def indexed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def work(ids, sets):
         import pyarrow as pa
-        import xxhash
 
         known = shared.value
-        keys, sketches, marks = [], [], []
+        keys, sketches = [], []
         for s in sets:
             p, order = prefix_length(len(s)), s
             if len(known) and len(s):
@@ -132,8 +132,7 @@ def indexed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             own = order[:p]
             keys.append(own)
             sketches.append(own[-(-p * np.arange(1, STEPS + 1) // STEPS) - 1] if p else own)
-            marks.append(xxhash.xxh3_128_intdigest(s.tobytes()) if p else 0)
-        low, high = (np.array([(m >> q & 0xFFFFFFFFFFFFFFFF) for m in marks], np.uint64).astype(np.int64) for q in (0, 64))
+        low, high = marks_of(sets)
         return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(low), pa.array(high), listed(keys), listed(sketches)]
 
     return mapped(docs, work, "id long, n long, f1 long, f2 long, tokens array<long>, sketch array<long>")
@@ -150,16 +149,38 @@ def unpack(b: bytes) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set) of the documents with these distinct ids; ids are broadcast only if they are few enough. Of an id's several texts: see op9."""
+def marks_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The halves of each set's 128-bit fingerprint; 0 for the empty set."""
+    import xxhash
+
+    marks = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else 0 for s in sets]
+    low, high = (np.array([(m >> q & 0xFFFFFFFFFFFFFFFF) for m in marks], np.uint64).astype(np.int64) for q in (0, 64))
+    return low, high
+
+
+def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, set) of these classes (cid, rid, f1, f2, n), where id is cid; ids are broadcast only if they are few enough."""
 
     def work(found, sets):
         import pyarrow as pa
 
-        return [found, pa.array([pack(s) for s in sets], pa.binary())]
+        low, high = marks_of(sets)
+        return [pa.array(low), pa.array(high), pa.array([len(s) for s in sets], pa.int64()), pa.array([pack(s) for s in sets], pa.binary())]
 
+    ids = classes.select(F.col("rid").alias("id")).distinct()
     few = ids.count() <= MOST_IDS
-    return mapped(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi"), work, "id long, set binary")
+    found = mapped(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi"), work, "f1 long, f2 long, n long, set binary")
+    # An id's other texts have other fingerprints.
+    return found.groupBy("f1", "f2", "n").agg(F.min("set").alias("set")).join(classes, ["f1", "f2", "n"]).select(F.col("cid").alias("id"), "set")
+
+
+def classes_of(linkable: DataFrame) -> DataFrame:
+    """A row for each set: f1, f2, n, tokens, sketch, its smallest id rid, and a number cid that grows with rid."""
+    found = linkable.groupBy("f1", "f2", "n").agg(F.min("id").alias("rid"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    found = materialize(found, "classes")
+    if found.groupBy("rid").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        return found.withColumn("cid", F.col("rid"))
+    return materialize(found.repartitionByRange("rid").sortWithinPartitions("rid", "f1", "f2", "n").withColumn("cid", F.monotonically_increasing_id()), "classes")
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> int:
@@ -251,7 +272,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     usual = frequent_tokens(docs, frequent)
     rows = materialize(indexed(docs, usual), "prefixes")
     linkable = rows.where("n > 0 and id is not null")
-    classes = materialize(linkable.groupBy("f1", "f2", "n").agg(F.min("id").alias("cid"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "classes")
+    classes = classes_of(linkable)
     entries = classes.select("cid", "n", F.explode("tokens").alias("token"))
     lists = entries.groupBy("token").agg(F.count("*").alias("c"), F.min("cid").alias("first")).where("c > 1")
     shared = materialize(entries.join(lists, "token"), "shared")
@@ -274,8 +295,8 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     star = star.select(F.col("first").alias("x"), F.col("cid").alias("y"), F.col("nf").alias("nx"), F.col("n").alias("ny"))
     tried = materialize(likely.unionByName(star).distinct(), "pairs")
 
-    needed = tried.select("x").union(tried.select("y")).union(large.select("cid")).distinct().toDF("id")
-    sets = materialize(sets_of(docs, needed).groupBy("id").agg(F.min("set").alias("set")), "sets")
+    needed = tried.select("x").union(tried.select("y")).union(large.select("cid")).distinct().toDF("cid")
+    sets = materialize(sets_of(docs, classes.select("cid", "rid", "f1", "f2", "n").join(needed, "cid", "left_semi")), "sets")
     links = materialize(verified(tried, sets, t), "verified")
     part = components(links)
     grouped = large.join(part.select(F.col("node").alias("cid"), F.col("root").alias("r")), "cid", "left").withColumn("comp", F.coalesce("r", "cid"))
@@ -283,11 +304,20 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     members = grouped.join(open_, "token", "left_semi").select("token", "c", F.col("cid").alias("id"), "comp", "n").join(sets, "id")
     more = materialize(in_blocks(members, t), "blocks")
     # Rows that share an id tie their classes together.
-    own = linkable.select("id", "f1", "f2", "n").join(classes.select("f1", "f2", "n", "cid"), ["f1", "f2", "n"]).select("id", "cid")
-    tied = own.groupBy("id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    narrow = classes.select("f1", "f2", "n", "cid", "rid")
+    repeated = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    own = linkable.select("id", "f1", "f2", "n").join(repeated, "id", "left_semi").join(narrow, ["f1", "f2", "n"]).select("id", "cid").distinct()
+    own = materialize(own, "repeated")
+    least = own.groupBy("id").agg(F.min("cid").alias("a"))
+    tied = own.join(least, "id").where("cid <> a").select(F.col("a").alias("src"), F.col("cid").alias("dst"))
     roots = components(links.unionByName(more).unionByName(tied))
-    rooted = classes.select("f1", "f2", "n", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("f1", "f2", "n", F.coalesce("root", "cid").alias("root"))
-    out = rows.select("id", "n", "f1", "f2").join(rooted, ["f1", "f2", "n"], "left")
+    # The smallest number of a component belongs to the class with its smallest id.
+    named = roots.join(narrow.select(F.col("cid").alias("root"), F.col("rid").alias("named")), "root").select(F.col("node").alias("cid"), "named")
+    rooted = narrow.join(named, "cid", "left").withColumn("root", F.coalesce("named", "rid"))
+    # A repeated id's texts without words go with its others.
+    also = least.join(rooted.select(F.col("cid").alias("a"), F.col("root").alias("also")), "a").select("id", "also")
+    out = rows.select("id", "n", "f1", "f2").join(rooted.select("f1", "f2", "n", "root"), ["f1", "f2", "n"], "left")
+    out = out.join(also, "id", "left").select("id", "n", F.coalesce("root", "also").alias("root"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
