@@ -161,6 +161,16 @@ def test_viterbi_forms_agree_with_brute_force():
             assert s[np.arange(6), path].sum() - 2.0 * (np.diff(path) != 0).sum() == pytest.approx(best)
 
 
+def test_short_cut_of_the_recurrence_is_exact():
+    lab = language_id.Labeller(language_id.Model({}, {}), 12.0)
+    assert lab.path(np.array([[0.0, 10.0, -20.0], [0.0, -20.0, 10.0]])).tolist() == [1, 2]
+    rng = np.random.default_rng(1)
+    for k in range(600):
+        s = rng.normal(size=(5, 3)) * (3, 5, 8)[k % 3]
+        value = lambda p: s[np.arange(5), p].sum() - 12.0 * (np.diff(p) != 0).sum()  # noqa: B023, E731
+        assert value(lab.path(s)) == pytest.approx(max(value(np.array(p)) for p in np.ndindex(*(3,) * 5)))
+
+
 @pytest.mark.parametrize("block", [8 << 20, 400])
 def test_decontamination_against_brute_force(spark, block):
     rng = random.Random(2)

@@ -2,8 +2,9 @@
 labels the spans of mixed-language text.
 
 A word's score for a language is the log-likelihood of its character trigrams, learned from labelled documents. The document's
-language is the one whose spans hold most letters, its score their share. Where no span of another language gains as much as
-one switch costs, the best path is one language throughout, and the recurrence is not run.
+language is the one whose spans hold most letters, its score their share. Where no span of another language gains more than
+one switch costs, nor the best first and last spans together, the best path is one language throughout, and the recurrence is
+not run.
 
 Training reads about ``per_language`` labelled documents of each language, drawn by hash from those with a letter; a language
 with fewer is learned from all of them. Every language with a labelled letter is learned, and every trigram drawn counts. What
@@ -146,7 +147,9 @@ class Labeller:
         best = int(s.sum(0).argmax())
         run = np.cumsum(s - s[:, best, None], axis=0)
         low = np.minimum(0.0, np.minimum.accumulate(np.concatenate([np.zeros((1, run.shape[1])), run[:-1]]), axis=0))
-        if (run - low).max() <= self.penalty:
+        # A path off the best language gains in its first span, its last one and those between, and pays for each but the first.
+        ends = max(0.0, run.max()) + (run[-1] - low[-1]).max()
+        if (run - low).max() <= self.penalty and ends <= self.penalty:
             return np.full(len(s), best)
         return viterbi_of_few(s, self.penalty) if s.shape[1] <= 12 else viterbi(s, self.penalty)
 
