@@ -82,6 +82,13 @@ def test_urls_against_brute_force(spark):
     assert got[8].verdict == "block" and got[9].verdict == "allow" and got[0].verdict == "allow"
 
 
+def test_urls_with_long_runs_and_without_a_host(spark):
+    urls = ["http://" + "cheappills" * 40 + ".example.org/x", "file:///cheappills", "file:///news", "x://"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge(pages, url_filter.UrlModel({})).collect()}
+    assert [got[i].verdict for i in range(4)] == ["block", "block", "allow", "allow"] and got[3].url_score is None
+
+
 def test_token_tables_round_trip(spark, tmp_path):
     texts = [*ODD, "Don't STOP, <|endoftext|> \u0130\u0301 (ok)"] + [f"word{i} Again, and again!" for i in range(300)]
     docs = docs_of(spark, texts)

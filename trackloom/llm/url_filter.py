@@ -27,6 +27,8 @@ from trackloom.llm._common import ascii_lower
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 MIN_SHARE = 2e-6
 PRIOR_BLOCK = 0.3
+#: Longer runs of letters are split anew each time.
+CACHED = 256
 #: Labelled names for training: what is sold or offered by hosts to block, and what ordinary hosts are about.
 BLOCK_NAMES = (
     "cheap pills", "spam farm", "casino win", "free bets", "ads track", "adult x", "online casino", "poker bonus", "viagra pills", "cheap meds", "payday loan", "fast loans",
@@ -106,7 +108,7 @@ class UrlModel:
     def tokens(self, host: str, path: str) -> list[str]:
         """The words of the host's labels but for the last, and of the path."""
         labels = host.rsplit(".", 1)[0] if "." in host else host
-        return [w for run in _RUN.split(labels) + _RUN.split(path.lower()) if run for w in (self.words(run) if len(run) <= 256 else [run])]
+        return [w for run in _RUN.split(labels) + _RUN.split(path.lower()) if run for w in (self.words(run) if len(run) <= CACHED else self.segmenter.split(run))]
 
     def score(self, host: str, path: str) -> float:
         return self.bayes.score(self.tokens(host, path))
@@ -159,7 +161,7 @@ def judge(pages: DataFrame, model: UrlModel, *, url_col: str = "url", keep: tupl
         import pandas as pd
 
         m = shared.value
-        return pd.Series([None if r is not None or not h else m.score(h, p) for h, p, r in zip(host, path, rule, strict=True)], dtype="float64")
+        return pd.Series([None if r is not None or not (h or p) else m.score(h, p) for h, p, r in zip(host, path, rule, strict=True)], dtype="float64")
 
     scored = ruled.withColumn("url_score", score("host", "path", "rule"))
     verdict = F.when(F.col("url_score") > 0, "block").otherwise("allow")
