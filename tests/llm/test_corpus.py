@@ -89,6 +89,13 @@ def test_urls_with_long_runs_and_without_a_host(spark):
     assert [got[i].verdict for i in range(4)] == ["block", "block", "allow", "allow"] and got[3].url_score is None
 
 
+def test_url_words_are_all_counted(spark):
+    title = "filler " * 400 + "zorb lamp u"
+    pages = [(0, "http://zorblamp.example.org/q", f"<title>{title}</title>")] + [(1, "http://a.org/", "<title>" + "other " * 600_000 + "</title>")]
+    counts = url_filter.word_counts(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert counts == {"zorb": 1, "lamp": 1, "q": 1, "__": 600_400, "_": 1}
+
+
 def test_token_tables_round_trip(spark, tmp_path):
     texts = [*ODD, "Don't STOP, <|endoftext|> \u0130\u0301 (ok)"] + [f"word{i} Again, and again!" for i in range(300)]
     docs = docs_of(spark, texts)

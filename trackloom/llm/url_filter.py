@@ -4,8 +4,9 @@ Rules of a host and a path prefix come first: a rule fits its host and all subdo
 and the longest one wins. Where no rule fits, the host's labels are split into words by a unigram Viterbi (concatenated names:
 ``cheappills`` is ``cheap pills``), and a multinomial naive Bayes scores the words of host and path.
 
-The unigram counts come from all pages: the words of titles and paths and the hyphenated parts of hosts, kept if they make at
-least ``min_share`` of all, which bounds the vocabulary at 1 / min_share. The classifier is trained on the labelled names below.
+The unigram counts come from all pages: the words of titles and paths and the hyphenated parts of hosts. Of them the model holds
+those that stand somewhere in a host or path, as no other can be part of a split, and the sum of the rest; it grows with
+the distinct words of the urls. The classifier is trained on the labelled names below.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; tokens unknown to
 the classifier say nothing; an even score allows; repeated pages are judged row by row; an empty table gives an empty result;
@@ -22,10 +23,9 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm._common import ascii_lower
+from trackloom.llm._common import ascii_lower, materialize
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-MIN_SHARE = 2e-6
 PRIOR_BLOCK = 0.3
 #: Longer runs of letters are split anew each time.
 CACHED = 256
@@ -138,17 +138,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def word_counts(pages: DataFrame, *, url_col: str = "url", html_col: str | None = "html", min_share: float = MIN_SHARE) -> dict[str, int]:
-    """Unigram counts over all pages; at most 1 / min_share words."""
+def word_counts(pages: DataFrame, *, url_col: str = "url", html_col: str | None = "html") -> dict[str, int]:
+    """Unigram counts over all pages of the words that stand in a url; the others are summed as ``__``, or ``_`` if they are single letters."""
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     parts = F.flatten(F.transform(F.filter(F.split(host, r"\."), lambda x: F.contains(x, F.lit("-"))), lambda x: F.regexp_extract_all(x, F.lit("[a-z]+"), F.lit(0))))
     lists = [parts, F.regexp_extract_all(F.lower(path), F.lit("[a-z]+"), F.lit(0))]
     if html_col:
-        title = F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?i)<title>([^<]{0,2000})", 1)
+        title = F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?i)<title>([^<]*)", 1)
         lists.append(F.regexp_extract_all(F.lower(title), F.lit("[a-z]+"), F.lit(0)))
     counts = pages.select(F.explode(F.concat(*lists)).alias("w")).where("length(w) <= 24").groupBy("w").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return {r["w"]: r["n"] for r in counts.where(F.col("n") >= max(1.0, min_share * total)).toLocalIterator()}
+    counts = materialize(counts, "words")
+    # All that a split can use: up to 24 letters from each place of each run.
+    runs = pages.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws("/", host, path)), F.lit("[a-z]+"), F.lit(0))).alias("run")).distinct()
+    tails = runs.select(F.explode(F.expr(f"transform(sequence(1, length(run)), i -> substring(run, i, {Segmenter.LONGEST}))")).alias("tail")).distinct()
+    parts = tails.select(F.explode(F.expr("transform(sequence(1, length(tail)), j -> substring(tail, 1, j))")).alias("w")).distinct()
+    out = {r["w"]: r["n"] for r in counts.join(parts, "w", "left_semi").toLocalIterator()}
+    rest = counts.join(parts, "w", "left_anti").groupBy((F.length("w") > 1).alias("long")).agg(F.sum("n").alias("n")).collect()
+    return out | {"__" if r["long"] else "_": r["n"] for r in rest}
 
 
 def judge(pages: DataFrame, model: UrlModel, *, url_col: str = "url", keep: tuple[str, ...] = ("page_id",), rules=RULES) -> DataFrame:
