@@ -139,6 +139,19 @@ def test_personal_data_against_regexes(spark):
     assert personal_data.scan_personal_data(docs_of(spark, ODD)).count() == len(ODD) + 1
 
 
+def test_ibans_among_capitals_and_overlapping_spans():
+    iban = "DE89 3704 0044 0532 0130 00"
+    for x in (f"{iban} BIC COBADEFF", f"{iban} 2024", f"NR12 {iban}", f"ORDER AB12 CDEF {iban} GB82 WEST 1234 5698 7654 32 EUR"):
+        spans = [x[a:b] for k, a, b, _ in personal_data.find(x) if k == "iban"]
+        assert spans == [iban, "GB82 WEST 1234 5698 7654 32"][: 1 + ("GB82" in x)], x
+        assert "3704" not in personal_data.masked(x)
+    find, personal_data.find = personal_data.find, lambda t: [("ip", 2, 5, 1.0), ("card", 4, 8, 1.0)]
+    try:
+        assert personal_data.masked("0123456789") == "01<ip>89"
+    finally:
+        personal_data.find = find
+
+
 def test_language_held_out_and_mixed(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}

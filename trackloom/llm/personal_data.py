@@ -2,7 +2,7 @@
 
 Every kind has a pattern, a validator and context words. Kinds of the base set are kept whenever their validator holds;
 the further kinds are kept when their score, moved by the context, reaches a threshold. Spans of one kind are leftmost
-and do not overlap; a span that fails its validator is dropped and the search goes on behind it. Offsets are code points,
+and do not overlap; a span that fails its validator is dropped and the search goes on behind it, for account numbers inside it. Offsets are code points,
 the end is exclusive.
 
 Defined results: a null or empty text has no spans; repeated rows are judged row by row; an empty table gives an empty
@@ -30,6 +30,10 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGITS = re.compile(r"[0-9]")
 
+IBAN_LENGTHS = {c: n for n, x in (
+    (15, "NO"), (16, "BE"), (18, "DK FI FO GL NL"), (19, "MK SI"), (20, "AT BA EE KZ LT LU XK"), (21, "CH HR LI LV"), (22, "BG BH CR DE GB GE IE ME RS VA"), (23, "AE GI IL IQ TL"),
+    (24, "AD CZ ES MD PK RO SA SE SK TN VG"), (25, "LY PT ST"), (26, "IS TR"), (27, "FR GR IT MC MR SM"), (28, "AL AZ BY CY DO GT HU LB PL SV"), (29, "BR EG PS QA UA"), (30, "JO KW MU"), (31, "MT SC"), (32, "LC"),
+) for c in x.split()}
 #: Words that make a kind likelier when they stand near it.
 CONTEXT = {
     "email": ("mail", "e-mail", "email", "contact", "write", "@"), "ip": ("ip", "host", "server", "address", "client"),
@@ -91,9 +95,20 @@ def phones(text: str):
 
 
 def ibans(text: str):
-    for m in _IBAN.finditer(text):
-        if 15 <= len(x := m[0].replace(" ", "")) <= 34 and mod97(x):
-            yield m.span()
+    """Proposals can run on into words in capitals, so all ends of tokens are tried: first the country's length, then from the longest."""
+    m = _IBAN.search(text)
+    while m:
+        begin, end = m.span()
+        ends, n = [], 0
+        for i in range(begin, end):
+            n += text[i] != " "
+            if n >= 15 and text[i] != " " and (i + 1 == end or text[i + 1] == " "):
+                ends.append((n == IBAN_LENGTHS.get(m[0][:2]), i + 1))
+        stop = next((e for _, e in sorted(ends, reverse=True) if mod97(text[begin:e].replace(" ", ""))), None)
+        if stop:
+            yield begin, stop
+        # The next one can begin inside what was proposed.
+        m = _IBAN.search(text, stop or begin + 1)
 
 
 def ssns(text: str):
@@ -140,7 +155,7 @@ def scan_personal_data(docs: DataFrame, *, text_col: str = "text", keep: tuple[s
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """docs with every found span replaced by its kind in angle brackets; same columns. Overlapping spans: the first one by start counts."""
+    """docs with every found span replaced by its kind in angle brackets; same columns. Overlapping spans are cut as one, under the kind of the first by start."""
 
     @F.pandas_udf("string")
     def cut(texts):
@@ -158,7 +173,7 @@ def masked(text: str | None) -> str | None:
     for kind, begin, end, _ in sorted(find(text), key=lambda x: (x[1], -x[2])):
         if begin >= at:
             out += [text[at:begin], f"<{kind}>"]
-            at = end
+        at = max(at, end)
     return "".join([*out, text[at:]])
 
 
