@@ -56,6 +56,17 @@ def test_mix_schedule_moves_a_source_in_time(spark):
     assert mean["a"] < 0.45 < 0.55 < mean["b"]
 
 
+def test_every_reading_has_its_training_position(spark):
+    docs = spark.createDataFrame([(i, "w w w", None, "a" if i < 20 else "b", 0) for i in range(200)], DOCS)
+    rows = mixing.readings(mixing.mix(docs, schedules={"a": (1.0,), "b": (1.0,)})).collect()
+    a = [r for r in rows if r.source == "a"]
+    assert len(a) == 60 and sum(r.words for r in a) == 180 and sum(r.words for r in rows) == 600
+    for k in range(3):  # both sources are read at an even pace, so each reading of a takes a third of the time
+        own = [r.position for r in a if r.reading == k]
+        assert len(own) == 20 and k / 3 - 0.01 <= min(own) and max(own) < (k + 1) / 3 + 0.01
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+
+
 def test_quality_held_out(spark):
     rows = quality.op2(spark, SF).collect()
     label = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}

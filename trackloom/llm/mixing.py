@@ -101,7 +101,7 @@ def mix(docs: DataFrame, *, schedules: dict | None = None, total_share: float =
 
     schedules: by source; without it sources weigh 1, 2, 3, repeating. A document is read ``taken / size`` times: all documents
     of a source equally often, those that come first in its order once more, and the one at the border in part; copies counts
-    that part if it is at least half. position is the training time of a document's first reading, null if it is never read.
+    that part if it is at least half. positions has the training time of each of a document's readings, position that of the first; null if it is never read.
     """
     rows = sizes_of(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed)
     sources = source_table(rows)
@@ -129,12 +129,24 @@ def mix(docs: DataFrame, *, schedules: dict | None = None, total_share: float =
     left = words - full * F.col("source_size") - before
     more = F.greatest(F.lit(0), F.least(F.col("size"), left))
     placed = placed.withColumn("taken", full * F.col("size") + more).withColumn("full", full).withColumn("copies", full + ((left > 0) & (2 * left >= F.col("size"))).cast("long"))
-    share = before / F.col("target")
     grid = GRID
-    step = F.greatest(F.lit(1), F.least(F.lit(grid), F.size(F.filter("curve", lambda x: x < share))))
-    low, high = F.element_at("curve", step), F.element_at("curve", step + 1)
-    placed = placed.withColumn("position", F.when(F.col("taken") > 0, (step - 1 + F.when(high > low, (share - low) / (high - low)).otherwise(0.0)) / grid))
-    return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken", "copies", "position", "full", "bucket", "order")
+
+    def time_of(r: Column) -> Column:
+        share = (before + r * F.col("source_size")) / F.col("target")
+        step = F.greatest(F.lit(1), F.least(F.lit(grid), F.size(F.filter("curve", lambda x: x < share))))
+        low, high = F.element_at("curve", step), F.element_at("curve", step + 1)
+        return (step - 1 + F.when(high > low, (share - low) / (high - low)).otherwise(0.0)) / grid
+
+    times = F.transform(F.sequence(F.lit(0), (F.col("full") + (more > 0).cast("long") - 1).cast("int")), time_of)
+    placed = placed.withColumn("positions", F.when(F.col("taken") > 0, times)).withColumn("position", F.element_at("positions", 1))
+    return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken", "copies", "position", "positions", "full", "bucket", "order")
+
+
+def readings(mixed: DataFrame) -> DataFrame:
+    """One row for each reading of a document, range-sorted by its position: reading from 0, position, and words, less than size where the border cuts it."""
+    columns = [c for c in mixed.columns if c not in ("position", "positions")]
+    rows = mixed.select(*columns, F.posexplode("positions").alias("reading", "position"))
+    return ordered(rows.withColumn("words", F.least("size", F.col("taken") - F.col("reading") * F.col("size"))))
 
 
 def ordered(mixed: DataFrame) -> DataFrame:
