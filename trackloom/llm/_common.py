@@ -16,13 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that the cluster names in spark.checkpoint.dir; a temporary folder where none is named, as in tests."""
+    """A fresh path in the shared folder that the cluster names in spark.checkpoint.dir; a temporary folder where none is named and all runs on this machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="trackloom-")
-        if not getattr(spark, "_trackloom_scratch", None):
-            spark._trackloom_scratch = base
-        base = spark._trackloom_scratch
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = getattr(spark, "_trackloom_scratch", None)
+        if not base:
+            base = spark._trackloom_scratch = "file://" + tempfile.mkdtemp(prefix="trackloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -30,7 +31,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and no lost executor can take it away."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._trackloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that no later job reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._trackloom_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -78,15 +88,13 @@ def worker_cache(key, make):
     return _SLOT[1]
 
 
-#: Rows that go to a Python worker at once. Texts are long, so a worker's memory is mostly that of one batch.
-BATCH_ROWS = 1000
+#: Bytes that go to a Python worker at once, where the session says nothing. Texts are long, and a worker's memory is mostly that of one batch.
+BATCH_BYTES = "4m"
 
 
 def map_arrow(df: DataFrame, work, schema, cache=None) -> DataFrame:
     """mapInArrow in batches of bounded size, in a worker that keeps no cache but that of this key."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(name)) > BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    bound_batches(df.sparkSession)
 
     def run(batches):
         from trackloom.llm import _common
@@ -99,12 +107,22 @@ def map_arrow(df: DataFrame, work, schema, cache=None) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the bytes of a batch where the session sets neither bytes nor rows; its own settings stay."""
+    names = [f"spark.sql.execution.arrow.{x}PerBatch" for x in ("maxBytes", "maxRecords")]
+    if all(spark.conf.get(n, None) is None for n in names):
+        spark.conf.set(names[0], BATCH_BYTES)
+
+
 def give_back() -> None:
     """Returns freed memory to the system, where the C library can."""
     import ctypes
     import gc
 
+    import pyarrow as pa
+
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

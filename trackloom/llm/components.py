@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm._common import materialize
+from trackloom.llm._common import discard, materialize
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -18,7 +18,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Null ends are skipped, loops and repeated links change nothing, and no links give an empty table.
     """
     e = links.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    e = materialize(e, "links")
+    e = written = materialize(e, "links")
     before = fingerprint(e)
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,6 +27,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         small = e.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         e = materialize(small.where("u <> v").distinct(), "links")
+        discard(written)
+        written = e
         now = fingerprint(e)
         if now == before:
             break

@@ -19,6 +19,7 @@ their text's hash, and a lookup returns all of them; an empty table gives no sha
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import unicodedata
@@ -26,7 +27,7 @@ import uuid
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right
-from collections import ChainMap, Counter
+from collections import Counter
 from itertools import chain
 from typing import NamedTuple
 
@@ -55,14 +56,44 @@ _SYMBOLS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _
 _MARKS = b".,!?;:()*#$%&|\""
 
 
+class Recent:
+    """A cache under a budget of bytes: entries move through two generations, and those that nobody asked for go with the older one."""
+
+    #: What an entry costs beside its bytes: two objects and its place in the table.
+    ENTRY = 180
+
+    def __init__(self, most_bytes: int, longest: int = 64):
+        self.half, self.longest = most_bytes // 2, longest
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def get(self, key: bytes) -> bytes | None:
+        x = self.young.get(key)
+        if x is None:
+            x = self.old.get(key)
+            if x is not None:
+                self.put(key, x)
+        return x
+
+    def put(self, key: bytes, value: bytes) -> None:
+        if len(key) > self.longest:
+            return
+        self.size += len(key) + len(value) + self.ENTRY
+        if self.size > self.half:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young[key] = value
+
+
 class WordEncoder:
     """Encodes texts as the tokenizer does, but each word once.
 
     Its normaliser and splitter never look across ASCII white space, and they part a run of letters from the marks around it, so
-    a text's ids are those of its words, and a word's are those of its marks and letters. Two bounded caches keep them.
+    a text's ids are those of its words, and a word's are those of its marks and letters. Caches under budgets of bytes keep them.
+    Whether the tokenizer is of this build is read from its own settings; any other encodes each text whole.
     """
 
-    MOST_HOT, MOST_WORDS, MOST_PIECES = 30_000, 1_000_000, 1_000_000
+    MOST_HOT, WORD_BYTES, PIECE_BYTES = 30_000, 64 << 20, 48 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,19 +103,9 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
         self.hot: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {b"": b""}
-        probe = self.tokenizer.encode("AB, cd", add_special_tokens=False).ids
-        #: Whether the tokenizer lower-cases and splits in the way that parts() takes for granted.
-        self.plain = probe == [t.id for w in ("ab", ",", "cd") for t in self.tokenizer.model.tokenize(w)]
-
-    def parts(self, word: bytes) -> tuple[bytes, ...]:
-        """Marks, letters and marks, or the whole word where it has another build."""
-        tail = word.lstrip(_MARKS)
-        core = tail.rstrip(_MARKS)
-        if core.isalpha() or (not core.isascii() and self.latin(core)):
-            return word[: len(word) - len(tail)], core, tail[len(core) :]
-        return (word,)
+        self.words, self.pieces = Recent(self.WORD_BYTES), Recent(self.PIECE_BYTES)
+        self.marks: dict[bytes, bytes] = {b"": b""}
+        self.plain = splits_words(self.tokenizer.to_str())
 
     @staticmethod
     def latin(core: bytes) -> str:
@@ -92,44 +113,73 @@ class WordEncoder:
         letters = unicodedata.normalize("NFC", core.decode()).lower()
         return letters.encode().decode("latin-1").translate(_SYMBOLS) if letters.isalpha() and max(letters) < "\u0250" else ""
 
-    def piece(self, piece: bytes) -> bytes:
-        """The ids of a run of letters or of marks: the library's model alone, as normaliser and splitter would leave it whole."""
-        symbols = piece.lower().decode() if piece.isascii() else self.latin(piece)
+    def model_ids(self, symbols: str) -> bytes:
+        """The library's model alone, on what normaliser and splitter would leave whole."""
         return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
 
+    def word(self, word: bytes) -> bytes | None:
+        """The ids of marks, letters and marks; None for words of another build."""
+        tail = word.lstrip(_MARKS)
+        core = tail.rstrip(_MARKS)
+        x = self.pieces.get(core)
+        if x is None:
+            symbols = core.lower().decode() if core.isalpha() else "" if core.isascii() else self.latin(core)
+            if not symbols:
+                return None
+            x = self.model_ids(symbols)
+            self.pieces.put(core, x)
+        if len(core) == len(word):
+            return x
+        return self.run(word[: len(word) - len(tail)]) + x + self.run(tail[len(core) :])
+
+    def run(self, marks: bytes) -> bytes:
+        x = self.marks.get(marks)
+        if x is None:
+            x = self.model_ids(marks.decode())
+            if len(marks) <= 8 and len(self.marks) < 20_000:
+                self.marks[marks] = x
+        return x
+
     def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
-        split = {w: self.parts(w) if self.plain else (w,) for w in new}
-        fresh = {p: self.piece(p) for p in {p for x in split.values() if len(x) == 3 for p in x}.difference(self.pieces)}
-        odd = [x[0] for x in split.values() if len(x) == 1]
+        out = {w: self.word(w) for w in new}
+        odd = [w for w, x in out.items() if x is None]
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)
-        whole = {w: array(self.kind, e.ids).tobytes() for w, e in zip(odd, encoded, strict=True)}
-        if len(self.pieces) < self.MOST_PIECES:
-            self.pieces.update(fresh)
-            known = self.pieces
-        else:
-            known = ChainMap(fresh, self.pieces)
-        return {w: known[x[0]] + known[x[1]] + known[x[2]] if len(x) == 3 else whole[w] for w, x in split.items()}
+        out.update((w, array(self.kind, e.ids).tobytes()) for w, e in zip(odd, encoded, strict=True))
+        return out
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        if not self.plain:
+            encoded = self.tokenizer.encode_batch_fast([(t or b"").decode() for t in texts], add_special_tokens=False)
+            return [array(self.kind, e.ids).tobytes() for e in encoded]
         # Lower case first, as the normaliser does for A-Z, except where special tokens might be meant.
-        lists = [(t.lower() if self.plain and b"<|" not in t else t).split() if t else [] for t in texts]
+        lists = [(t.lower() if b"<|" not in t else t).split() if t else [] for t in texts]
         flat = list(chain.from_iterable(lists))
         found = list(map(self.hot.get, flat))
-        rest = [i for i, x in enumerate(found) if x is None]
-        new = []
-        for i in rest:
-            x = found[i] = self.words.get(flat[i])
+        young, old = self.words.young.get, self.words.old.get
+        new, again = [], {}
+        for i, x in enumerate(found):
             if x is None:
-                new.append(i)
+                w = flat[i]
+                x = young(w)
+                if x is None:
+                    x = old(w)
+                    if x is None:
+                        new.append(i)
+                        continue
+                    again[w] = x
+                found[i] = x
+        for w, x in again.items():
+            self.words.put(w, x)
         if new:
             fresh = self.learn({flat[i] for i in new})
             for i in new:
                 found[i] = fresh[flat[i]]
-            if len(self.words) < self.MOST_WORDS:
-                self.words.update(fresh)
-        if not self.hot and len(self.words) > self.MOST_HOT:
+            put = self.words.put
+            for w, x in fresh.items():
+                put(w, x)
+        if not self.hot and len(flat) > self.MOST_HOT:
             # The most frequent words again, side by side in memory, in a table that fits the processor's cache.
-            self.hot = {bytes(bytearray(w)): bytes(bytearray(x)) for (w, x), _ in Counter(zip(flat, found, strict=True)).most_common(self.MOST_HOT)}
+            self.hot = {bytes(bytearray(w)): bytes(bytearray(x)) for (w, x), _ in Counter(zip(flat, found, strict=True)).most_common(self.MOST_HOT) if len(w) <= 64}
         out, at = [], 0
         for x in lists:
             out.append(b"".join(found[at : at + len(x)]))
@@ -137,6 +187,20 @@ class WordEncoder:
         return out
 
 
+def splits_words(settings: str) -> bool:
+    """Whether a tokenizer's JSON says: NFC, white space to a space, lower case; runs of letters, single digits, runs of marks; bytes; merges."""
+    s = json.loads(settings)
+    kinds = [x["type"] for x in (s.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (s.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if kinds != ["NFC", "Replace", "Lowercase"] or s["normalizer"]["normalizers"][1] != {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}:
+        return False
+    if [x["type"] for x in cuts] != ["Split", "ByteLevel"] or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"] or not cuts[0]["invert"] or cuts[0]["behavior"] != "Removed":
+        return False
+    pattern = cuts[0]["pattern"].get("Regex", "")
+    plain_tokens = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in s.get("added_tokens", []))
+    return pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and set(pattern[: -len(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")]) <= set("'|abcdefghijklmnopqrstuvwxyz") and s["model"]["type"] == "BPE" and plain_tokens
+
+
 def encoder(path: str) -> WordEncoder:
     """Loaded once per Python worker, while it encodes."""
     return worker_cache(("encoder", path), lambda: WordEncoder(path))
