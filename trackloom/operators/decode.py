@@ -1,48 +1,10 @@
-"""Sequential decoders and walks: one fold per track in a Python worker, parallel over tracks."""
+"""The endless recency-aware walk: one fold per track in a Python worker, parallel over tracks."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 
 
-def viterbi_path(start: np.ndarray, transition: np.ndarray, observed: np.ndarray) -> tuple[np.ndarray, float]:
-    """Best path in the log domain; of equal predecessors the first wins. observed: a row of log densities per step."""
-    v, back = start + observed[0], np.zeros(observed.shape, np.int64)
-    for n in range(1, len(observed)):
-        options = v[:, None] + transition
-        back[n] = options.argmax(0)
-        v = options.max(0) + observed[n]
-    path = [int(v.argmax())]
-    for n in range(len(observed) - 1, 0, -1):
-        path.append(int(back[n, path[-1]]))
-    return np.array(path[::-1]), float(v.max())
-
-
-def forward(start: np.ndarray, transition: np.ndarray, observed: np.ndarray) -> np.ndarray:
-    """Normalised forward probabilities, a row per step."""
-    out = np.empty(observed.shape)
-    now = start
-    for n, o in enumerate(observed):
-        now = (now if n == 0 else now @ transition) * o
-        now = out[n] = now / now.sum()
-    return out
-
-
-def decode(b: DataFrame, start, transition, density) -> DataFrame:
-    """The best state of each row; density(x) gives a row of densities per value."""
-    with np.errstate(divide="ignore"):
-        s, t = np.log(np.asarray(start, float)), np.log(np.asarray(transition, float))
-
-    def work(pdf):
-        pdf = pdf.sort_values("idx")
-        with np.errstate(divide="ignore"):
-            pdf["state"] = viterbi_path(s, t, np.log(density(pdf["x"].to_numpy())))[0]
-        return pdf[["track_id", "idx", "state"]]
-
-    return b.groupBy("track_id").applyInPandas(work, "track_id long, idx long, state long")
-
-
 LENGTHS = (16, 24, 32, 48, 64, 72, 96, 128)
 
 

@@ -1,4 +1,4 @@
-"""Similarity graphs between the frames of a track of vectors (i, embedding).
+"""Similarity graphs between the frames of a track of vectors (track_id, i, v).
 
 Neighbours are searched in blocks: frames are packed into blocks of bounded size, each pair of blocks is one task of a matrix
 product, and only each frame's best k of a pair of blocks leave it.
@@ -15,69 +15,72 @@ from trackloom.functions.vectors import distance
 BLOCK = 512
 
 
-def nearest(vectors: DataFrame, k: int, apart: int, measure: str = "cosine") -> DataFrame:
-    """(src, dst, sim, rank): the k best frames more than apart away; on ties the lower number. measure: cosine or euclid (sim is minus the distance)."""
-    v = vectors.select("i", F.col("embedding").cast("array<double>").alias("v")).withColumn("b", F.floor(F.col("i") / BLOCK))
-    top = v.agg(F.max("b")).first()[0]
-    if top is None:
-        return v.sparkSession.createDataFrame([], "src long, dst long, sim double, rank int")
-    queries = v.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(top).cast("long")))).select("b", "o", "i", "v")
-    members = v.select(F.col("b").alias("mb"), F.col("i").alias("j"), F.col("v").alias("w"))
-    # Each block of queries meets each block of members once.
-    members = members.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(top).cast("long"))))
+def nearest(frames: DataFrame, k: int, apart: int, measure: str = "cosine") -> DataFrame:
+    """(track_id, src, dst, sim, rank): of each frame (track_id, i, v) the k best of its track more than apart away; on ties the lower number.
+
+    measure: cosine, or euclid (sim is minus the distance). Frames are numbered within the track and packed into blocks, so sparse numbers
+    cost nothing; a track of n frames sends each frame to n / BLOCK pairs of blocks, and only the best k of a pair leave it.
+    """
+    o = Window.partitionBy("track_id").orderBy("i")
+    v = frames.select("track_id", "i", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    v = v.withColumn("b", F.floor((F.row_number().over(o) - 1) / BLOCK)).withColumn("nb", F.ceil(F.count("*").over(Window.partitionBy("track_id")) / BLOCK))
+    v = v.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    queries, members = v.select("track_id", "b", "o", "i", "v"), v.select(F.col("track_id").alias("mt"), F.col("o").alias("qb"), F.col("b").alias("mb"), F.col("i").alias("j"), F.col("v").alias("w"))
+    kind = dict(v.dtypes)["track_id"]
 
     def best(key, left, right):
         import numpy as np
         import pandas as pd
 
-        if not len(left) or not len(right):
-            return pd.DataFrame({"src": [], "dst": [], "sim": []})
         right = right.sort_values("j")
         x, y, i, j = np.array(left["v"].tolist()), np.array(right["w"].tolist()), left["i"].to_numpy(), right["j"].to_numpy()
         if measure == "cosine":
-            nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
-            n = nx[:, None] * ny[None]
+            n = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None]
             s = np.divide(x @ y.T, n, out=np.zeros_like(n), where=n > 0)
         else:
-            s = -np.sqrt(np.maximum(((x[:, None] - y[None]) ** 2).sum(2), 0))
+            s = -np.sqrt(np.stack([((y - row) ** 2).sum(1) for row in x]))
         s[np.abs(i[:, None] - j[None]) <= apart] = -np.inf
         o = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"src": np.repeat(i, o.shape[1]), "dst": j[o].ravel(), "sim": np.take_along_axis(s, o, 1).ravel()})
+        out = pd.DataFrame({"track_id": key[0], "src": np.repeat(i, o.shape[1]), "dst": j[o].ravel(), "sim": np.take_along_axis(s, o, 1).ravel()})
         return out[np.isfinite(out["sim"])]
 
-    found = queries.groupBy("b", "o").cogroup(members.groupBy("qb", "mb")).applyInPandas(best, "src long, dst long, sim double")
-    w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
+    found = queries.groupBy("track_id", "b", "o").cogroup(members.groupBy("mt", "qb", "mb")).applyInPandas(best, f"track_id {kind}, src long, dst long, sim double")
+    w = Window.partitionBy("track_id", "src").orderBy(F.desc("sim"), "dst")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def jump_graph(vectors: DataFrame, k: int = 10, apart: int = 4, cut: float = 0.25) -> DataFrame:
-    """The k best neighbours, cut at the similarity that stands at a quarter of all, from the top."""
-    e = nearest(vectors, k, apart)
+def jump_graph(frames: DataFrame, k: int = 10, apart: int = 4, cut: float = 0.25) -> DataFrame:
+    """The k best neighbours, cut in each track at the similarity that stands at a quarter of all, from the top."""
+    e = nearest(frames, k, apart)
     # Ascending place ceil((1 - cut) m) is descending place floor(cut m), counted from 0.
-    limit = e.agg(F.expr(f"percentile_disc({1 - cut}) within group (order by sim)").alias("limit"))
-    return e.join(F.broadcast(limit), F.col("sim") >= F.col("limit")).select("src", "dst", "sim", "rank")
+    limit = e.groupBy("track_id").agg(F.expr(f"percentile_disc({1 - cut}) within group (order by sim)").alias("limit"))
+    return e.join(limit, "track_id").where("sim >= limit").select("track_id", "src", "dst", "sim", "rank")
 
 
 def mutual(edges: DataFrame) -> DataFrame:
     """Edges that exist both ways."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return edges.join(back, ["src", "dst"], "left_semi")
+    back = edges.select("track_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return edges.join(back, ["track_id", "src", "dst"], "left_semi")
 
 
-def diagonal_density(edges: DataFrame, n: int, low: int = 10, high: int = 200) -> DataFrame:
-    """Edges at offset d over n - d."""
-    e = edges.select((F.col("dst") - F.col("src")).alias("d")).where((F.col("d") >= low) & (F.col("d") < min(n, high)))
-    return e.groupBy("d").agg((F.count("*") / (F.lit(n) - F.col("d"))).alias("density"))
+def recurrence(frames: DataFrame, k: int | None = None, apart: int = 3, n: int | None = None) -> DataFrame:
+    """Mutual Euclidean neighbours (track_id, src, dst); k is 2 ceil(sqrt(n)) of each track's length by default."""
+    if k is not None:
+        return mutual(nearest(frames, k, apart, "euclid")).select("track_id", "src", "dst")
+    size = frames.groupBy("track_id").agg((2 * F.ceil(F.sqrt(F.count("*")))).alias("_k"))
+    top = n if n is not None else size.agg(F.max("_k")).first()[0] or 1
+    e = nearest(frames, int(top), apart, "euclid").join(size, "track_id").where("rank <= _k")
+    return mutual(e).select("track_id", "src", "dst")
 
 
-def path_weights(vectors: DataFrame) -> DataFrame:
-    """Distance of each frame to the next; frames are dealt by ranges so that no single task sorts them all."""
-    nxt = vectors.select((F.col("i") - 1).alias("i"), F.col("embedding").alias("w"))
-    return vectors.join(nxt, "i").select("i", distance("embedding", "w").alias("d"))
+def path_weights(frames: DataFrame) -> DataFrame:
+    """Distance of each frame to the next of its track."""
+    nxt = F.lead("v").over(Window.partitionBy("track_id").orderBy("i"))
+    return frames.withColumn("_w", nxt).where("_w is not null").select("track_id", "i", distance("v", "_w").alias("d"))
 
 
 def graph_stats(edges: DataFrame) -> DataFrame:
-    """Frames with an edge by number of candidates: 1, 2-5, 6-10."""
-    n = edges.groupBy("src").agg(F.count("*").alias("n"))
+    """Frames with an edge by number of candidates: 1, 2-5, 6-10, more."""
+    n = edges.groupBy("track_id", "src").agg(F.count("*").alias("n"))
     kind = F.when(F.col("n") == 1, "1").when(F.col("n") <= 5, "2-5").when(F.col("n") <= 10, "6-10").otherwise(">10")
-    return n.groupBy(kind.alias("candidates")).agg(F.count("*").alias("frames"), F.sum("n").alias("edges"))
+    return n.groupBy("track_id", kind.alias("candidates")).agg(F.count("*").alias("frames"), F.sum("n").alias("edges"))

@@ -79,11 +79,13 @@ def upper_median(values: Column) -> Column:
     return F.element_at(F.sort_array(values), (F.size(values) / 2).cast("int") + 1)
 
 
-def fade_cut(b: DataFrame, share: float = 0.4, floor: float = 0.05, least: int = 32) -> DataFrame:
-    """Up to the last row above max(share of the upper median, floor), if at least ``least`` rows stay; else all."""
-    m = b.groupBy("track_id").agg(upper_median(F.collect_list("x")).alias("m"))
+def fade_cut(b: DataFrame, share: float = 0.4, floor: float = 0.05, least: int = 32, seconds: float = 60.0) -> DataFrame:
+    """Up to the last row above max(share of the upper median, floor), if at least ``least`` rows stay; else all, and tracks shorter than ``seconds`` stay whole."""
+    # Asked in falling order, the discrete percentile is the upper middle.
+    m = b.groupBy("track_id").agg(F.expr("percentile_disc(0.5) within group (order by x desc)").alias("m"), (F.max("t") - F.min("t")).alias("long"))
     j = b.join(m, "track_id").withColumn("last", F.max(F.when(F.col("x") > F.greatest(share * F.col("m"), F.lit(floor)), F.col("idx"))).over(whole()))
-    return j.where(F.col("last").isNull() | (F.col("last") + 1 < least) | (F.col("idx") <= F.col("last"))).drop("m", "last")
+    keep = (F.col("long") < seconds) | F.col("last").isNull() | (F.col("last") + 1 < least) | (F.col("idx") <= F.col("last"))
+    return j.where(keep).drop("m", "last", "long")
 
 
 def fade_cut_by_mean(b: DataFrame, share: float = 0.75) -> DataFrame:
@@ -128,12 +130,19 @@ def adaptive_peaks(b: DataFrame, win: int, alpha: float) -> DataFrame:
 
 
 def lock_out(peaks: DataFrame, distance: int) -> DataFrame:
-    """Keeps a peak if it lies at least distance behind the last kept one: a fold over each track's peaks."""
-    state = F.aggregate(
-        F.sort_array(F.collect_list("idx")), F.expr("cast(array() as array<long>)"),
-        lambda acc, i: F.when((F.size(acc) == 0) | (i - F.element_at(acc, -1) >= distance), F.concat(acc, F.array(i))).otherwise(acc),
-    )
-    return peaks.groupBy("track_id").agg(state.alias("kept")).select("track_id", F.explode("kept").alias("idx"))
+    """Keeps a peak if it lies at least distance behind the last kept one: a linear fold over each track's peaks."""
+
+    def work(key, pdf):
+        import pandas as pd
+
+        kept: list[int] = []
+        for i in sorted(pdf["idx"]):
+            if not kept or i - kept[-1] >= distance:
+                kept.append(i)
+        return pd.DataFrame({"track_id": key[0], "idx": kept})
+
+    narrow = peaks.select("track_id", "idx")
+    return narrow.groupBy("track_id").applyInPandas(work, narrow.schema)
 
 
 def max_peaks(b: DataFrame, radius: int, threshold: float) -> DataFrame:
@@ -156,11 +165,11 @@ def comb_forward(b: DataFrame, tau: int, alpha: float) -> DataFrame:
 
 
 def comb_backward(b: DataFrame, tau: int, alpha: float) -> DataFrame:
-    """y[n] = x[n] + alpha * y[n - tau]: one fold for each track and residue."""
-    step = lambda acc, v: F.concat(acc, F.array(v["x"] + alpha * F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0))))
-    g = b.groupBy("track_id", (F.col("idx") % tau).alias("r")).agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s"))
-    g = g.withColumn("y", F.aggregate("s", F.expr("cast(array() as array<double>)"), step))
-    return g.select("track_id", F.explode(F.arrays_zip("s", "y")).alias("z")).select("track_id", "z.s.idx", "z.y")
+    """y[n] = x[n] + alpha * y[n - tau]: a linear fold over each track's residues."""
+    from trackloom.operators.hmm import by_track
+    from trackloom.operators.tempo import comb_back
+
+    return by_track(b.select("track_id", "idx", "x"), lambda _, pdf: {"idx": pdf["idx"].to_numpy(), "y": comb_back(pdf["x"].to_numpy(float), tau, alpha)}, "idx long, y double")
 
 
 def autocorrelation(b: DataFrame, lags: int) -> DataFrame:

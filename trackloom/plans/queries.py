@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import vectors as V
-from trackloom.operators import catalog, decode, graph, matching, sequence
-from trackloom.sources.tracks import event_tracks, frames, table
+from trackloom.operators import catalog, graph, matching, sequence
+from trackloom.sources.tracks import event_tracks, frames, table, vector_tracks
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -45,7 +45,7 @@ beats("beat_intervals", f"WITH {BEATS} SELECT track_id, idx, round(coalesce(t -
 beats("quartiles", f"WITH {BEATS} SELECT track_id, idx, CAST(floor(idx / (count(*) OVER (PARTITION BY track_id) / 4.0)) AS BIGINT) AS quartile FROM b", lambda b: sequence.quartiles(b).select("track_id", "idx", "quartile"))
 beats("stream_time", f"WITH {BEATS}, d AS (SELECT *, coalesce(lead(t) OVER w - t, 0) AS dur FROM b {W}) SELECT track_id, idx, round(coalesce(sum(dur) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS stream FROM d", lambda b: sequence.stream_time(b).select("track_id", "idx", F.round("stream", 3).alias("stream")))
 beats("bar_positions", f"WITH {BEATS}, d AS (SELECT *, CAST(sum(CASE WHEN label = 'signup' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS bar FROM b {W}) SELECT track_id, idx, bar, (row_number() OVER (PARTITION BY track_id, bar ORDER BY idx) - 1) % 4 AS bar_position FROM d", lambda b: sequence.bar_positions(b, F.col("label") == "signup").select("track_id", "idx", "bar", "bar_position"))
-beats("fade_cut_v3", f"WITH {BEATS}, m AS (SELECT track_id, list_sort(list(x))[CAST(floor(count(*) / 2) AS INT) + 1] AS m FROM b GROUP BY track_id), l AS (SELECT b.*, max(CASE WHEN x > greatest(0.4 * m, 0.05) THEN idx END) OVER (PARTITION BY track_id) AS last FROM b JOIN m USING (track_id)) SELECT track_id, idx, x FROM l WHERE last IS NULL OR last + 1 < 32 OR idx <= last", lambda b: sequence.fade_cut(b).select("track_id", "idx", "x"))
+beats("fade_cut_v3", f"WITH {BEATS}, m AS (SELECT track_id, list_sort(list(x))[CAST(floor(count(*) / 2) AS INT) + 1] AS m, max(t) - min(t) AS long FROM b GROUP BY track_id), l AS (SELECT b.*, long, max(CASE WHEN x > greatest(0.4 * m, 0.05) THEN idx END) OVER (PARTITION BY track_id) AS last FROM b JOIN m USING (track_id)) SELECT track_id, idx, x FROM l WHERE long < 60 OR last IS NULL OR last + 1 < 32 OR idx <= last", lambda b: sequence.fade_cut(b).select("track_id", "idx", "x"))
 beats("fade_cut_v1", f"WITH {BEATS}, m AS (SELECT *, avg(x) OVER (PARTITION BY track_id) AS m FROM b), l AS (SELECT *, max(CASE WHEN x >= 0.75 * m THEN idx END) OVER (PARTITION BY track_id) AS last FROM m) SELECT track_id, idx, x FROM l WHERE idx <= last", lambda b: sequence.fade_cut_by_mean(b).select("track_id", "idx", "x"))
 beats("threshold_crop", f"WITH {BEATS}, l AS (SELECT *, min(CASE WHEN x >= 400 THEN idx END) OVER (PARTITION BY track_id) AS lo, max(CASE WHEN x >= 400 THEN idx END) OVER (PARTITION BY track_id) AS hi FROM b) SELECT track_id, idx, x FROM l WHERE idx BETWEEN lo AND hi", lambda b: sequence.crop(b, 400).select("track_id", "idx", "x"))
 beats("median_filter", f"WITH {BEATS}, n AS (SELECT track_id, idx, list_sort(list(x) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS l FROM b) SELECT track_id, idx, l[CAST(floor(len(l) / 2) AS INT) + 1] AS smooth FROM n", lambda b: sequence.median_filter(b, 2).select("track_id", "idx", "smooth"))
@@ -67,7 +67,6 @@ beats("escape_fraction", f"WITH {SEGMENTS}, m AS (SELECT *, count(*) OVER (PARTI
 beats("ring_last_50", f"WITH {BEATS}, o AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY idx DESC) AS k FROM b) SELECT track_id, idx, label FROM o WHERE k <= 50", lambda b: sequence.ring(b, 50).select("track_id", "idx", "label"))
 beats("chunk_overlap", f"WITH {BEATS} SELECT track_id, idx, CAST(CASE WHEN idx < 14 THEN 0 ELSE floor((idx - 2) / 12) END AS BIGINT) AS chunk FROM b", lambda b: sequence.chunks(b, 16, 2).select("track_id", "idx", "chunk"))
 beats("segment_map", f"WITH {RUNS} SELECT track_id, string_agg(CASE WHEN run % 2 = 0 THEN '#' ELSE '-' END, '' ORDER BY idx) AS map FROM r GROUP BY track_id", lambda b: sequence.with_runs(b).groupBy("track_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "run"))), lambda v: F.when(v["run"] % 2 == 0, "#").otherwise("-")), "").alias("map")))
-beats("prf_by_class", f"WITH {BEATS} SELECT label, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN x > 250 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM b GROUP BY GROUPING SETS ((label), ())", lambda b: b.groupingSets([[F.col("label")], []], "label").agg(F.count("*").alias("n"), F.count_if(F.col("x") > 250).alias("hits")))
 
 SIDES = BEATS + ", d AS (SELECT track_id, t FROM b WHERE label = 'click'), a AS (SELECT track_id, t FROM b WHERE label = 'view')"
 CLOSE = SIDES + ", lr AS (SELECT d.track_id, d.t, (SELECT max(a.t) FROM a WHERE a.track_id = d.track_id AND a.t <= d.t) AS l, (SELECT min(a.t) FROM a WHERE a.track_id = d.track_id AND a.t >= d.t) AS r FROM d), m AS (SELECT track_id, t, CASE WHEN r IS NULL OR t - l < r - t THEN l ELSE r END AS match FROM lr)"
@@ -85,8 +84,6 @@ sides("closest_match", f"WITH {CLOSE} SELECT track_id, t, match, round(t - match
 sides("near_semi", f"WITH {CLOSE} SELECT track_id, t FROM m WHERE abs(t - match) <= 7200", lambda d, a: matching.near(d, a, 7200))
 sides("match_errors", f"WITH {CLOSE} SELECT track_id, round(avg(t - match), 3) AS mean_error, round(avg(abs(t - match)), 3) AS mean_abs, round(stddev_pop(t - match), 3) AS std_error FROM m GROUP BY track_id", lambda d, a: matching.errors(d, a).select("track_id", *[F.round(c, 3).alias(c) for c in ("mean_error", "mean_abs", "std_error")]))
 sides("pscore", f"WITH {CLOSE}, g AS (SELECT track_id, t - lag(t) OVER (PARTITION BY track_id ORDER BY t) AS g FROM a), i AS (SELECT track_id, median(g) AS md FROM g GROUP BY track_id), n AS (SELECT track_id, sum(dd) AS nd, sum(aa) AS na FROM (SELECT track_id, 1 AS dd, 0 AS aa FROM d UNION ALL SELECT track_id, 0, 1 FROM a) GROUP BY track_id), h AS (SELECT m.track_id, count(*) FILTER (abs(t - match) <= 0.2 * md) AS hits FROM m JOIN i USING (track_id) GROUP BY m.track_id) SELECT track_id, round(coalesce(hits, 0) / greatest(nd, na), 6) AS pscore FROM n LEFT JOIN h USING (track_id)", lambda d, a: matching.interval_accuracy(d, a, 0.2).select("track_id", r6("pscore").alias("pscore")))
-sides("onset_match", None, lambda d, a: matching.matched(d, a, 7200))
-sides("prf_micro", None, lambda d, a: matching.scores(matching.matched(d, a, 7200)))
 
 LONG = "f AS (SELECT vec_id AS i, CAST(k - 1 AS BIGINT) AS k, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, range(1, 65) q(k))"
 EMB = "e AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -104,32 +101,18 @@ vectors("dct", f"WITH {LONG}, c AS (SELECT c FROM range(0, 4) q(c)) SELECT i, c
 vectors("centroid", f"WITH {LONG} SELECT i, round(sum(abs(v) * k) / sum(abs(v)) / 64, 6) AS centroid FROM f GROUP BY i", lambda v: v.select("i", r6(V.centroid("embedding")).alias("centroid")))
 register("amp_db", f"WITH {LONG} SELECT i, k, round(greatest(20 * log10(greatest(abs(v), 1e-10)), -80), 5) AS db FROM f")(lambda spark, d: frames(table(spark, d, "embeddings")).select("i", "k", F.round(V.decibel(F.abs("v")), 5).alias("db")))
 register("chroma_fold", f"WITH {LONG} SELECT i, CAST(floor(k / 3) % 12 AS BIGINT) AS pitch, round(ln(1 + sum(abs(v))), 6) AS y FROM f GROUP BY ALL")(lambda spark, d: frames(table(spark, d, "embeddings")).groupBy("i", (F.floor(F.col("k") / 3) % 12).alias("pitch")).agg(r6(F.log1p(F.sum(F.abs("v")))).alias("y")))
-vectors("path_weights", f"WITH {EMB} SELECT a.i, round(list_distance(a.v, c.v), 6) AS d FROM e a JOIN e c ON c.i = a.i + 1", lambda v: graph.path_weights(v).select("i", r6("d").alias("d")))
-FLUX = f"WITH {LONG}, g AS (SELECT a.i, greatest(abs(a.v) - abs(c.v), 0) AS y, abs(a.v) AS m, abs(c.v) AS p, a.k FROM f a JOIN f c ON c.i = a.i - 1 AND c.k = a.k)"
+TRACKS = "e AS (SELECT CAST(label AS BIGINT) AS track_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
 
-def flux(name: str, agg_sql: str, value):
-    def run(spark, d):
-        v = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("m"))
-        both = v.join(v.select((F.col("i") + 1).alias("i"), F.col("m").alias("p")), "i")
-        return both.select("i", F.round(value("m", "p"), 5).alias("y"))
-
-    register(name, f"{FLUX} SELECT i, round({agg_sql}, 5) AS y FROM g GROUP BY i")(run)
-
-
-def total(c):
-    return F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
-
+def tracks(name: str, sql: str | None, make):
+    """A query on the vectors' tracks, one for each label."""
+    register(name, sql)(lambda spark, d: make(vector_tracks(table(spark, d, "embeddings"))))
 
-flux("spectral_flux", "sum(y)", lambda m, p: total(F.zip_with(m, p, lambda a, b: F.greatest(a - b, F.lit(0.0)))))
-flux("spectral_diff", "sum(y * y)", lambda m, p: total(F.zip_with(m, p, lambda a, b: F.greatest(a - b, F.lit(0.0)) * F.greatest(a - b, F.lit(0.0)))))
-flux("mkl", "avg(ln(1 + m / (p + 1e-6)))", lambda m, p: total(F.zip_with(m, p, lambda a, b: F.log1p(a / (b + 1e-6)))) / F.size(m))
-flux("hfc", "avg(m * k)", lambda m, p: total(F.transform(m, lambda a, k: a * k)) / F.size(m))
 
-KNN = EMB + ", pr AS (SELECT a.i AS src, c.i AS dst, list_cosine_similarity(a.v, c.v) AS sim FROM e a JOIN e c ON abs(a.i - c.i) > 4), kn AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rank FROM pr QUALIFY rank <= 10), cut AS (SELECT list_sort(list(sim), 'DESC')[CAST(floor(count(*) * 0.25) AS INT) + 1] AS lim FROM kn), jg AS (SELECT src, dst, sim, rank FROM kn, cut WHERE sim >= lim)"
-vectors("knn_jump_graph", f"WITH {KNN} SELECT src, dst, round(sim, 6) AS sim, CAST(rank AS INT) AS rank FROM jg", lambda v: graph.jump_graph(v).select("src", "dst", r6("sim").alias("sim"), "rank"))
-vectors("knn_mutual", f"WITH {KNN} SELECT x.src, x.dst FROM kn x JOIN kn y ON x.src = y.dst AND x.dst = y.src", lambda v: graph.mutual(graph.nearest(v, 10, 4)).select("src", "dst"))
-vectors("graph_stats", f"WITH {KNN}, n AS (SELECT src, count(*) AS n FROM jg GROUP BY src) SELECT CASE WHEN n = 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 10 THEN '6-10' ELSE '>10' END AS candidates, count(*) AS frames, CAST(sum(n) AS BIGINT) AS edges FROM n GROUP BY 1", lambda v: graph.graph_stats(graph.jump_graph(v)))
+tracks("path_weights", f"WITH {TRACKS} SELECT a.track_id, a.i, round(list_distance(a.v, c.v), 6) AS d FROM e a JOIN e c ON c.track_id = a.track_id AND c.i = a.i + 1", lambda f: graph.path_weights(f).select("track_id", "i", r6("d").alias("d")))
+KNN = TRACKS + ", pr AS (SELECT a.track_id, a.i AS src, c.i AS dst, list_cosine_similarity(a.v, c.v) AS sim FROM e a JOIN e c ON a.track_id = c.track_id AND abs(a.i - c.i) > 4), kn AS (SELECT *, row_number() OVER (PARTITION BY track_id, src ORDER BY sim DESC, dst) AS rank FROM pr QUALIFY rank <= 10), cut AS (SELECT track_id, list_sort(list(sim), 'DESC')[CAST(floor(count(*) * 0.25) AS INT) + 1] AS lim FROM kn GROUP BY track_id), jg AS (SELECT track_id, src, dst, sim, rank FROM kn JOIN cut USING (track_id) WHERE sim >= lim)"
+tracks("knn_jump_graph", f"WITH {KNN} SELECT track_id, src, dst, round(sim, 6) AS sim, CAST(rank AS INT) AS rank FROM jg", lambda f: graph.jump_graph(f).select("track_id", "src", "dst", r6("sim").alias("sim"), "rank"))
+tracks("graph_stats", f"WITH {KNN}, n AS (SELECT track_id, src, count(*) AS n FROM jg GROUP BY ALL) SELECT track_id, CASE WHEN n = 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 10 THEN '6-10' ELSE '>10' END AS candidates, count(*) AS frames, CAST(sum(n) AS BIGINT) AS edges FROM n GROUP BY 1, 2", lambda f: graph.graph_stats(graph.jump_graph(f)))
 
 CAT = "c AS (SELECT p_partkey AS source, p_brand AS artist, p_name AS title FROM part)"
 
@@ -139,25 +122,14 @@ def parts(name: str, sql: str | None, make):
 
 
 parts("catalog_search", f"WITH {CAT} SELECT * FROM c WHERE contains(lower(artist || ' ' || title), 'brand#1')", lambda c: catalog.search(c, "BRAND#1"))
-parts("catalog_upsert", f"WITH {CAT} SELECT source, artist, CASE WHEN source <= 20 THEN upper(title) ELSE title END AS title FROM c", lambda c: catalog.upsert(c, c.where("source <= 20").withColumn("title", F.upper("title"))))
+parts("catalog_upsert", f"WITH {CAT}, n AS (SELECT source + 100000 * (source % 2) AS source, artist, upper(title) AS title FROM c WHERE source <= 20) SELECT * FROM n UNION ALL SELECT * FROM c WHERE source NOT IN (SELECT source FROM n)", lambda c: catalog.upsert(c, c.where("source <= 20").withColumn("title", F.upper("title")).withColumn("source", F.col("source") + 100000 * (F.col("source") % 2))))
 parts("catalog_delete", f"WITH {CAT} SELECT * FROM c WHERE source % 7 <> 0", lambda c: catalog.delete(c, c.where("source % 7 = 0")))
-parts("clean_title", f"WITH {CAT} SELECT source, title AS cleaned FROM c", lambda c: c.select("source", catalog.clean_title(F.col("artist"), F.concat_ws(" - ", F.lower("artist"), "title")).alias("cleaned")))
+RAW = "CASE source % 6 WHEN 0 THEN lower(artist) || ' - ' || title WHEN 1 THEN artist || ': ' || title WHEN 2 THEN artist || '|' || title WHEN 3 THEN title WHEN 4 THEN upper(artist) || ' \u2013 ' ELSE artist || '-' || title || '  ' END"
+REST = "substr(raw, length(artist) + 1)"
+parts("clean_title", f"""WITH {CAT}, r AS (SELECT *, {RAW} AS raw FROM c), s AS (SELECT *, {REST} AS rest FROM r),
+k AS (SELECT *, trim(CASE WHEN starts_with(rest, ' - ') OR starts_with(rest, ' \u2013 ') OR starts_with(rest, ' \u2014 ') OR starts_with(rest, ' | ') THEN substr(rest, 4) WHEN starts_with(rest, ': ') THEN substr(rest, 3) WHEN starts_with(rest, '-') OR starts_with(rest, '\u2013') OR starts_with(rest, '\u2014') OR starts_with(rest, '|') OR starts_with(rest, ':') THEN substr(rest, 2) ELSE rest END) AS cut FROM s)
+SELECT source, CASE WHEN starts_with(lower(raw), lower(artist)) AND regexp_matches(cut, '[a-zA-Z0-9]') THEN cut ELSE raw END AS cleaned FROM k""", lambda c: c.withColumn("raw", F.expr(RAW)).select("source", catalog.clean_title(F.col("artist"), F.col("raw")).alias("cleaned")))
 register("cache_misses", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda spark, d: catalog.misses(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id"))
 register("rle_labels", "WITH c AS (SELECT conv_id, turn, role, CASE WHEN role <> lag(role) OVER w THEN 1 ELSE 0 END AS ch FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), r AS (SELECT *, CAST(sum(ch) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run FROM c) SELECT conv_id AS track_id, run, min(role) AS label, min(turn) AS first, max(turn) + 1 AS last FROM r GROUP BY conv_id, run")(
     lambda spark, d: sequence.with_runs(table(spark, d, "conversations").select(F.col("conv_id").alias("track_id"), F.col("turn").alias("idx"), F.col("role").alias("label"))).groupBy("track_id", "run").agg(F.min("label").alias("label"), F.min("idx").alias("first"), (F.max("idx") + 1).alias("last"))
 )
-
-
-def walk_v3(spark, d):
-    """The walk over each user's track: candidates are rows of the same label and bar position as the next row, 8 away at least."""
-    b = sequence.bar_positions(event_tracks(table(spark, d, "events")), F.col("label") == "signup")
-    n = F.count("*").over(sequence.whole())
-    nxt = F.element_at(F.array_sort(F.collect_list(F.struct("idx", "label", "bar_position")).over(sequence.whole())), (F.pmod(F.col("idx") + 1, n) + 1).cast("int"))
-    j = b.withColumn("nxt", nxt).withColumn("all", F.collect_list(F.struct("idx", "label", "bar_position")).over(sequence.whole()))
-    fits = F.filter("all", lambda c: (c["label"] == F.col("nxt.label")) & (c["bar_position"] == F.col("nxt.bar_position")) & (F.abs(c["idx"] - F.col("idx")) >= 8))
-    beats_ = j.select("track_id", "idx", (F.col("t") - F.min("t").over(sequence.whole())).alias("t"), "bar_position", F.array_sort(F.transform(fits, lambda c: c["idx"])).alias("candidates"))
-    return decode.walks(beats_, 200)
-
-
-register("walk_v3")(walk_v3)
-beats("viterbi", None, lambda b: decode.decode(b, [0.5, 0.5], [[0.9, 0.1], [0.2, 0.8]], lambda x: __import__("numpy").stack([1 / (1 + x / 100), 1 - 1 / (1 + x / 100)], 1)))

@@ -23,3 +23,15 @@ def event_tracks(events: DataFrame) -> DataFrame:
 def frames(vectors: DataFrame) -> DataFrame:
     """One track of feature vectors in long form (i, k, v)."""
     return vectors.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("k", "v")).select("i", F.col("k").cast("long").alias("k"), F.col("v").cast("double").alias("v"))
+
+
+def vector_tracks(vectors: DataFrame) -> DataFrame:
+    """One track of frames per label of the vectors: (track_id, i, v), i from 0 in the order of vec_id."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    return vectors.select(F.col("label").cast("long").alias("track_id"), (F.row_number().over(w) - 1).cast("long").alias("i"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+def spectrum_tracks(vectors: DataFrame) -> DataFrame:
+    """The same seen as spectra (track_id, frame, m, phase): magnitudes are absolute values, phases three times the values."""
+    v = vector_tracks(vectors)
+    return v.select("track_id", F.col("i").alias("frame"), F.transform("v", lambda x: F.abs(x)).alias("m"), F.transform("v", lambda x: x * 3.0).alias("phase"))
