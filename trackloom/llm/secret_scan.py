@@ -340,8 +340,9 @@ class Scanner:
         for a, b in chunks([len(t or b"") for t in texts], 4 << 20):
             buffer = b"\n".join(t or b"" for t in texts[a:b])
             first = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in texts[a:b]])])
+            # Pieces ascend, so a document's table of code points is built once.
+            lead = None
             for begin, end in self.flagged(buffer):
-                lead = None
                 for s, e, k in self.spans(buffer, begin, end):
                     doc = int(np.searchsorted(first, s, side="right")) - 1
                     if lead is None or lead[0] != doc:
