@@ -36,10 +36,13 @@ IBAN_LENGTHS = {c: n for n, x in (
 ) for c in x.split()}
 #: Words that make a kind likelier when they stand near it.
 CONTEXT = {
-    "email": ("mail", "e-mail", "email", "contact", "write", "@"), "ip": ("ip", "host", "server", "address", "client"),
+    "email": ("mail", "e-mail", "email", "contact", "write"), "ip": ("ip", "host", "server", "address", "client"),
     "card": ("card", "visa", "mastercard", "amex", "credit", "payment", "cvv"), "phone": ("phone", "tel", "call", "mobile", "fax", "cell"),
     "iban": ("iban", "bank", "account", "konto", "transfer", "bic"), "ssn": ("ssn", "social", "security", "taxpayer"),
 }
+_WORDS = {kind: frozenset(words) for kind, words in CONTEXT.items()}
+#: Words of a context: whole ones, with hyphens inside.
+_WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 #: Scores before the context: patterns with a checksum start higher.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.35}
 BOOST, WINDOW, THRESHOLD = 0.35, 40, 0.6
@@ -122,7 +125,7 @@ FINDERS = {"email": emails, "ip": ips, "card": cards, "phone": phones, "iban": i
 
 def score(text: str, kind: str, begin: int, end: int) -> float:
     near = (text[max(0, begin - WINDOW) : begin] + " " + text[end : end + WINDOW]).lower()
-    return min(1.0, PRIOR[kind] + BOOST * any(w in near for w in CONTEXT[kind]))
+    return min(1.0, PRIOR[kind] + BOOST * (not _WORDS[kind].isdisjoint(_WORD.findall(near))))
 
 
 def find(text: str | None) -> list[tuple[str, int, int, float]]:
