@@ -12,7 +12,7 @@ the model takes of the driver and the workers grows with the pairs of language a
 labelled over its whole text.
 
 Defined results: null texts, empty texts and texts without a letter are ``und`` with score 0, and so is everything if no language
-was learned; words in scripts that no language has count for none; ties go to the first language by code point; repeated
+was learned; words in scripts that no language has count for none, so a text of such words only gets the first language with score 0; ties go to the first language by code point; repeated
 documents are labelled row by row; other columns are not read.
 """
 
@@ -114,7 +114,8 @@ class Labeller:
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.rows = np.zeros((1 << 12, len(self.model.languages) + 1))
+        #: Scores, letters in a script of some language, letters.
+        self.rows = np.zeros((1 << 12, len(self.model.languages) + 2))
 
     def numbers(self, tokens: list[str]) -> np.ndarray:
         new = list(set(tokens).difference(self.number))
@@ -125,12 +126,15 @@ class Labeller:
         words = [letters(t) for t in new]
         self.rows[at : at + len(new), -1] = [len(w) for w in words]
         real = [k for k, w in enumerate(words) if w]
-        self.rows[at + np.array(real, np.int64), :-1] = self.model.scores([words[k] for k in real])
+        places, scores = at + np.array(real, np.int64), self.model.scores([words[k] for k in real])
+        self.rows[places, :-2] = scores
+        # Every known script gives negative scores.
+        self.rows[places, -2] = np.where((scores < 0).any(1), self.rows[places, -1], 0) if scores.shape[1] else 0
         return np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
 
     def paths(self, texts: list[str | None]):
-        """For each text (letters by token, language number by token)."""
-        if len(self.number) * (len(self.model.languages) + 1) > self.MOST:
+        """For each text (letters by token, those that some language can claim, language number by token)."""
+        if len(self.number) * (len(self.model.languages) + 2) > self.MOST:
             self.reset()
         lists = [t.split() if t else [] for t in texts]
         numbers = self.numbers(list(chain.from_iterable(lists)))
@@ -139,7 +143,7 @@ class Labeller:
         for x in lists:
             own = rows[at : at + len(x)]
             at += len(x)
-            yield own[:, -1], self.path(own[:, :-1])
+            yield own[:, -1], own[:, -2], self.path(own[:, :-2])
 
     def path(self, s: np.ndarray) -> np.ndarray:
         if not s.size:
@@ -155,12 +159,12 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out = []
-        for size, path in self.paths(texts):
+        for size, claimed, path in self.paths(texts):
             total = size.sum()
             if not total or not self.model.languages:
                 out.append(("und", 0.0))
                 continue
-            share = np.bincount(path, size, len(self.model.languages))
+            share = np.bincount(path, claimed, len(self.model.languages))
             k = int(share.argmax())
             out.append((self.model.languages[k], float(share[k] / total)))
         return out
@@ -264,7 +268,7 @@ def label(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[
             for i, j in chunks([len(t or "") for t in texts], most):
                 done += labeller.label(texts[i:j])
                 if spans:
-                    ranges += [runs(p, labeller.model.languages) if len(labeller.model.languages) else [] for _, p in labeller.paths(texts[i:j])]
+                    ranges += [runs(p, labeller.model.languages) if len(labeller.model.languages) else [] for *_, p in labeller.paths(texts[i:j])]
             arrays = [*b.columns[:-1], pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.float64())]
             if spans:
                 arrays.append(pa.array(ranges, to_arrow_type(schema["lang_spans"].dataType)))
@@ -284,4 +288,4 @@ def op7(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = fit(docs, learn_from=crc_mod(F.col("_id"), 4) != 2)
     out = label(docs, model)
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
