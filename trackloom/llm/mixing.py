@@ -26,7 +26,10 @@ from trackloom.llm._common import materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1024
+#: A power of two.
 GRID = 256
+#: Sources whose curves are broadcast, 2 KB each; more are joined by a shuffle.
+MOST_SOURCES = 4096
 #: A schedule: weights at equally spaced times; between them the weight is linear. One number is a constant weight.
 Schedule = tuple[float, ...]
 
@@ -122,7 +125,7 @@ def mix(docs: DataFrame, *, schedules: dict | None = None, total_share: float =
     b = buckets.select(F.col("source").alias("s2"), F.col("bucket").alias("b2"), "ahead")
     placed = placed.join(b, placed["source"].eqNullSafe(b["s2"]) & (placed["bucket"] == b["b2"])).drop("s2", "b2")
     p = plan.withColumnRenamed("source", "s3")
-    placed = placed.join(F.broadcast(p) if len(sources) <= 100_000 else p, placed["source"].eqNullSafe(F.col("s3"))).drop("s3")
+    placed = placed.join(F.broadcast(p) if len(sources) <= MOST_SOURCES else p, placed["source"].eqNullSafe(F.col("s3"))).drop("s3")
     words = F.round("target").cast("long")
     full = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
     before = F.col("ahead") + F.col("inside")
@@ -133,7 +136,10 @@ def mix(docs: DataFrame, *, schedules: dict | None = None, total_share: float =
 
     def time_of(r: Column) -> Column:
         share = (before + r * F.col("source_size")) / F.col("target")
-        step = F.greatest(F.lit(1), F.least(F.lit(grid), F.size(F.filter("curve", lambda x: x < share))))
+        # Bisection: how many of the curve's first values are smaller.
+        jumps = F.array(*[F.lit(1 << k) for k in reversed(range(grid.bit_length() - 1))], F.lit(1))
+        found = F.aggregate(jumps, F.lit(0), lambda a, s: F.when(F.element_at("curve", a + s) < share, a + s).otherwise(a))
+        step = F.greatest(F.lit(1), found)
         low, high = F.element_at("curve", step), F.element_at("curve", step + 1)
         return (step - 1 + F.when(high > low, (share - low) / (high - low)).otherwise(0.0)) / grid
 
@@ -152,7 +158,8 @@ def readings(mixed: DataFrame) -> DataFrame:
 def ordered(mixed: DataFrame) -> DataFrame:
     """Range-sorted by training position; documents that are never read come first, spread by their place in the source."""
     keys = ["position", "order"]
-    return mixed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # Written first, for the ranges are found by a pass of their own.
+    return materialize(mixed, "positions").repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def apply_mix(docs: DataFrame, *, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
