@@ -12,7 +12,8 @@ lists is visited once. Lists and their queries are cut into blocks of bounded si
 counts and a spanning forest of the links, never the pairs.
 
 Defined results: vectors without a label, null, empty or zero vectors, and such with null or non-finite components link with
-nothing; vectors of different length never link; rows that share an id are one vector, and their links add up; a row without
+nothing; vectors of different length never link; rows that share an id are one vector, which counts once among equal ones, and the links of
+its different values add up; ties in distance change no result; ids that aren't integers are refused; a row without
 an id has no component and isn't linked; an empty table gives an empty result; other columns are not read.
 """
 
@@ -58,8 +59,9 @@ class Quantiser:
         rest = s - self.centres[self.nearest(s)[0]]
         self.cuts = np.array_split(np.arange(s.shape[1]), min(SUBSPACES, s.shape[1]))
         self.books = [kmeans(rest[:, c], int(min(256, max(1, len(s) // 16)))) for c in self.cuts]
-        apart = self.centres[:, None] - self.centres[None]
-        self.apart = np.sqrt((apart * apart).sum(2))
+        size = (self.centres**2).sum(1)
+        # A little more than the distances, so that rounding loses no list.
+        self.apart = np.sqrt(np.maximum(size[:, None] + size[None] - 2 * self.centres @ self.centres.T, 0) + 1e-12)
 
     def nearest(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = (u * u).sum(1)[:, None] + (self.centres**2).sum(1)[None] - 2 * u @ self.centres.T
@@ -119,13 +121,15 @@ def roots(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, in
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
     """One row per row of vectors: its id, n_links, component_id and kept."""
+    if dict(vectors.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError("ids must be integers")
     v = F.transform(vector_col, lambda x: x.cast("double"))
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     usable = F.coalesce(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ok, F.lit(False))
     # 0.0 and -0.0 are equal numbers.
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable, F.col(label_col).cast("string")).alias("label"), F.when(usable, F.transform(v, lambda x: x + F.lit(0.0))).alias("v"))
     rows = materialize(rows.withColumn("mark", F.xxhash64("v")), "vectors")
-    classes = rows.where("v is not null").groupBy("label", "mark", "v").agg(F.min("id").alias("cid"), F.count("*").alias("copies"))
+    classes = rows.where("v is not null").groupBy("label", "mark", "v").agg(F.min("id").alias("cid"), F.countDistinct("id").alias("copies"))
     classes = materialize(classes.withColumn("dim", F.size("v")), "vector-classes")
     parts = [searched(classes.where(F.col("dim") == r["dim"]), r["n"], cosine) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()]
     spark = vectors.sparkSession
