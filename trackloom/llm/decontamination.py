@@ -6,8 +6,8 @@ are rolled over in one pass, hash hits are verified word by word, and documents
 Words: A-Z lower-cased, then runs of ``[0-9a-z]`` and non-ASCII characters. A window is ``n`` consecutive words of an
 item; an item of fewer words, but not none, is one window.
 
-Defined results: a null or empty text has no words and is never contaminated; benchmark rows with a null id or without
-words are skipped; equal item ids count once; repeated documents are judged row by row; an empty benchmark hits nothing;
+Defined results: a null or empty text has no words and is never contaminated; benchmark rows without words are skipped, the
+windows of rows with a null id hit words but count for no item; equal item ids count once; texts of any length are scanned whole; repeated documents are judged row by row; an empty benchmark hits nothing;
 other columns of the documents are carried along untouched and never read.
 """
 
@@ -41,10 +41,11 @@ def words_of(text: bytes | None) -> list[bytes]:
 class WindowSet:
     """The windows of some benchmark items: a vocabulary, and for each window length sorted hashes with a place to verify against."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], n: int = 13):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], n: int = 13):
         self.vocab: dict[bytes, int] = {}
-        self.ids = sorted({i for i, _ in items})
-        number = {x: k for k, x in enumerate(self.ids)}
+        self.ids = sorted({i for i, _ in items if i is not None})
+        # Items without an id hit words, but are named nowhere.
+        number = {x: k for k, x in enumerate(self.ids)} | {None: -1}
         flat: list[int] = []
         starts: dict[int, list[tuple[int, int]]] = {}
         for item, text in items:
@@ -90,7 +91,7 @@ class WindowSet:
                     if np.array_equal(rows[p], windows[i]):
                         mark[at[i]] += 1
                         mark[at[i] + k] -= 1
-                        found.setdefault(int(doc[at[i]]), set()).update(owners[offsets[p] : offsets[p + 1]].tolist())
+                        found.setdefault(int(doc[at[i]]), set()).update(x for x in owners[offsets[p] : offsets[p + 1]].tolist() if x >= 0)
         return np.cumsum(mark[:-1]) > 0, found
 
 
@@ -104,7 +105,7 @@ def roll(rows: np.ndarray) -> np.ndarray:
 
 def window_blocks(benchmark: DataFrame, n: int, id_col: str, text_col: str, block_bytes: int):
     """WindowSets of about block_bytes of text each, so that what is broadcast at once has a size bound."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // block_bytes)
     for b in range(blocks):
@@ -113,14 +114,36 @@ def window_blocks(benchmark: DataFrame, n: int, id_col: str, text_col: str, bloc
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, id_col: str = "item_id", bench_text: str = "text", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
-    """docs with a struct column ``SCAN`` (n_words, hits: [first, last) word ranges, items: ids): one narrow pass per block, no shuffle."""
+    """docs with a struct column ``SCAN`` (n_words, hits: [first, last) word ranges, items: ids).
+
+    A benchmark of one block takes one narrow pass. Of a larger one each block takes a pass over the texts alone, which writes the few texts
+    that are hit; these are joined to the documents by the text's fingerprint at the end, so no document is written or shuffled for a block.
+    """
     if SCAN in docs.columns:
         raise ValueError(f"the column name {SCAN} is taken")
-    out, passes = docs.withColumn(SCAN, F.lit(None).cast(_SCAN_TYPE)), 0
-    for windows in window_blocks(benchmark, n, id_col, bench_text, block_bytes):
-        out = _pass(materialize(out, "scan") if passes else out, windows, text_col)
-        passes += 1
-    return out if passes else _pass(out, WindowSet([], n), text_col)
+    empty = docs.withColumn(SCAN, F.lit(None).cast(_SCAN_TYPE))
+    blocks = window_blocks(benchmark, n, id_col, bench_text, block_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return _pass(empty, first or WindowSet([], n), text_col)
+    texts = docs.select(F.col(f"`{text_col}`").alias("_text")).withColumn(SCAN, F.lit(None).cast(_SCAN_TYPE))
+    mark = F.struct(F.xxhash64("_text").alias("a"), F.xxhash64(F.lit(43), "_text").alias("b"), F.length("_text").alias("c"))
+    found = None
+    for windows in chain([first, second], blocks):
+        hit = _pass(texts, windows, "_text").where(F.size(f"{SCAN}.hits") > 0)
+        hit = materialize(hit.select(mark.alias("_mark"), F.col(f"{SCAN}.hits").alias("h"), F.col(f"{SCAN}.items").alias("i")).distinct(), "hits")
+        found = hit if found is None else found.unionByName(hit)
+    found = found.groupBy("_mark").agg(F.flatten(F.collect_list("h")).alias("h"), F.flatten(F.collect_list("i")).alias("i"))
+    found = materialize(found.select("_mark", F.struct(F.lit(0).cast("long").alias("n_words"), F.col("h").alias("hits"), F.col("i").alias("items")).cast(_SCAN_TYPE).alias("_found")), "hits")
+    small = found.count() <= MOST_HITS
+    own = F.struct(F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(43), text_col).alias("b"), F.length(text_col).alias("c"))
+    joined = docs.withColumn("_own_mark", own).join(F.broadcast(found) if small else found, F.col("_own_mark") == F.col("_mark"), "left").drop("_own_mark", "_mark")
+    # A pass without windows counts the words and puts the ranges of all blocks in order.
+    return _pass(joined.withColumnRenamed("_found", SCAN), WindowSet([], n), text_col)
+
+
+#: So many hit texts are broadcast at most; more are joined by a shuffle.
+MOST_HITS = 20_000
 
 
 def _pass(docs: DataFrame, windows: WindowSet, text_col: str) -> DataFrame:
@@ -143,10 +166,10 @@ def _pass(docs: DataFrame, windows: WindowSet, text_col: str) -> DataFrame:
                 first = np.concatenate([[0], np.cumsum(sizes)])
                 for i in range(len(lists)):
                     old = before[a + i] or {"hits": [], "items": []}
-                    spans, items = old["hits"], old["items"]
-                    if i in found:
+                    spans, items = old["hits"], sorted(set(old["items"]))
+                    if i in found or len(spans) > 1:
                         own = set(np.flatnonzero(hit[first[i] : first[i + 1]]).tolist()).union(*(range(x, y) for x, y in spans))
-                        spans, items = ranges(sorted(own)), sorted({w.ids[x] for x in found[i]} | set(items))
+                        spans, items = ranges(sorted(own)), sorted({w.ids[x] for x in found.get(i, ())} | set(items))
                     out.append({"n_words": int(sizes[i]), "hits": spans, "items": items})
             columns = list(batch.columns)
             columns[k] = pa.array(out, batch.schema.field(k).type)
@@ -217,7 +240,7 @@ def op8(spark, sf_dir) -> DataFrame:
 
 OP8_SQL = r"""
 WITH low AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
 win AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
 lengths AS (SELECT DISTINCT k FROM win),
 dw AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM low, lengths WHERE len(w) >= k)),
