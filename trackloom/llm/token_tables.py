@@ -11,10 +11,11 @@ Keys are prefix-compressed inside a block and sort as bytes the way identifiers
 are the document's ids, little-endian, in 2 bytes where the vocabulary allows it, else in 4. A lookup asks the manifest for the
 shard, the Bloom filter, then searches the sparse index by bisection and reads one block.
 
-Shards are written under a name of their own per attempt and then renamed, so a task that is run again leaves one whole shard.
+Shards are written under a name of their own per attempt and then renamed, so a task that is run again leaves one whole shard. The
+manifest is written last, so tables can be opened again from their folder.
 
 Defined results: a null or empty text is the end id alone; null identifiers come first; equal identifiers stand in the order of
-their text's hash, and a lookup returns all of them; an empty table gives no shard; other columns are not read.
+their text's hash, and a lookup returns all of them; texts of any length are encoded whole; an empty table gives no shard; other columns are not read.
 """
 
 from __future__ import annotations
@@ -93,7 +94,9 @@ class WordEncoder:
     Whether the tokenizer is of this build is read from its own settings; any other encodes each text whole.
     """
 
-    MOST_HOT, WORD_BYTES, PIECE_BYTES = 30_000, 64 << 20, 48 << 20
+    #: Words counted before the most frequent ones get a table of their own.
+    COUNTED = 500_000
+    MOST_HOT, WORD_BYTES, PIECE_BYTES = 30_000, 52 << 20, 40 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -105,6 +108,7 @@ class WordEncoder:
         self.hot: dict[bytes, bytes] = {}
         self.words, self.pieces = Recent(self.WORD_BYTES), Recent(self.PIECE_BYTES)
         self.marks: dict[bytes, bytes] = {b"": b""}
+        self.tally: Counter | None = Counter()
         self.plain = splits_words(self.tokenizer.to_str())
 
     @staticmethod
@@ -177,9 +181,12 @@ class WordEncoder:
             put = self.words.put
             for w, x in fresh.items():
                 put(w, x)
-        if not self.hot and len(flat) > self.MOST_HOT:
-            # The most frequent words again, side by side in memory, in a table that fits the processor's cache.
-            self.hot = {bytes(bytearray(w)): bytes(bytearray(x)) for (w, x), _ in Counter(zip(flat, found, strict=True)).most_common(self.MOST_HOT) if len(w) <= 64}
+        if self.tally is not None:
+            self.tally.update(zip(flat, found, strict=True))
+            if self.tally.total() > self.COUNTED:
+                # The most frequent words again, side by side in memory, in a table that fits the processor's cache.
+                self.hot = {bytes(bytearray(w)): bytes(bytearray(x)) for (w, x), _ in self.tally.most_common(self.MOST_HOT) if len(w) <= 64}
+                self.tally = None
         out, at = [], 0
         for x in lists:
             out.append(b"".join(found[at : at + len(x)]))
@@ -385,7 +392,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: i
         writer = stream = part = None
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), texts_of(batch)
-            for a, b in chunks([len(t or b"") for t in texts], 4 << 20):
+            for a, b in chunks([len(t or b"") for t in texts], 1 << 20):
                 for key, value in zip(ids[a:b], e.encode(texts[a:b]), strict=True):
                     if writer is None:
                         system.create_dir(folder, recursive=True)
@@ -401,7 +408,35 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: i
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row[:4]] + [pa.array([x], pa.binary()) for x in row[4:]], names=list(Shard._fields))
 
     found = map_arrow(placed, work, "number long, path string, docs long, ids long, low binary, high binary", ("encoder", name)).collect()
-    return sorted(Shard(r.number, r.path, r.docs, r.ids, bytes(r.low), bytes(r.high)) for r in found)
+    shards = sorted(Shard(r.number, r.path, r.docs, r.ids, bytes(r.low), bytes(r.high)) for r in found)
+    finish(path, shards)
+    return shards
+
+
+def finish(path: str, shards: list[Shard]) -> None:
+    """Removes what lost attempts left and writes the manifest, last and by rename: where there is one, the tables are whole."""
+    import pyarrow.fs as fs
+
+    system, folder = fs.FileSystem.from_uri(path)
+    system.create_dir(folder, recursive=True)
+    for f in system.get_file_info(fs.FileSelector(folder)):
+        if f.base_name.startswith(".part-"):
+            system.delete_file(f.path)
+    rows = [s._asdict() | {"path": s.path.rsplit("/", 1)[1], "low": s.low.hex(), "high": s.high.hex()} for s in shards]
+    part = f"{folder}/.part-manifest-{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as f:
+        f.write(json.dumps(rows).encode())
+    system.move(part, f"{folder}/manifest.json")
+
+
+def manifest(path: str) -> list[Shard]:
+    """The shards of tables that are on disk."""
+    import pyarrow.fs as fs
+
+    system, folder = fs.FileSystem.from_uri(path)
+    with system.open_input_file(f"{folder}/manifest.json") as f:
+        rows = json.loads(f.read())
+    return [Shard(**r | {"path": f"{path}/{r['path']}", "low": bytes.fromhex(r["low"]), "high": bytes.fromhex(r["high"])}) for r in rows]
 
 
 def read(spark: SparkSession, shards: list[Shard], *, with_ids: bool = True, id_type: str = "long") -> DataFrame:
