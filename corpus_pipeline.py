@@ -1,7 +1,9 @@
 """The corpus pipeline: STAGES in order, each over all that its predecessor kept.
 
-Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Rows may
-repeat, be null in any column or be absent: every stage gives what its operator defines for them.
+Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, and further columns
+go through. Rows may repeat, be null in any column or be absent, and texts may have any length: a null or empty text scores like an empty
+one, is its own group, is never contaminated and is mixed with size 0; rows without an id all pass the near-duplicates, rows that share
+one leave a single row; ties go to the smallest id; an empty table passes every stage and is written as no shard.
 """
 
 from __future__ import annotations
