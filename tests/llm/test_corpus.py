@@ -80,7 +80,7 @@ def test_quality_held_out(spark):
 def test_urls_against_brute_force(spark):
     urls = [None, "", "no scheme", "HTTP://Sub.Example.NET/en/x?q#f", "http://example.net", "http://a.net/", "x://b.example.com/de/1", "http://org/fr/", "http://cheappills.example.org/en", "http://news.example.org/en/2#t", "http://notnet/"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
-    got = {r.page_id: r for r in url_filter.judge(pages, url_filter.UrlModel(url_filter.word_counts(pages))).collect()}
+    got = {r.page_id: r for r in url_filter.judge(pages).collect()}
     for i, u in enumerate(urls):
         rest = u.split("://", 1)[1] if u and "://" in u else ""
         host = re.match(r"[^/?#]*", rest)[0]
@@ -95,16 +95,45 @@ def test_urls_against_brute_force(spark):
 
 def test_urls_with_long_runs_and_without_a_host(spark):
     urls = ["http://" + "cheappills" * 40 + ".example.org/x", "file:///cheappills", "file:///news", "x://"]
-    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
-    got = {r.page_id: r for r in url_filter.judge(pages, url_filter.UrlModel({})).collect()}
+    title = "<title>" + "cheap pills other " * 300 + "</title>"
+    pages = spark.createDataFrame([(i, u, title) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    assert url_filter.judge(pages.where("false")).count() == 0 and url_filter.judge(pages.union(pages)).count() == 8
     assert [got[i].verdict for i in range(4)] == ["block", "block", "allow", "allow"] and got[3].url_score is None
 
 
 def test_url_words_are_all_counted(spark):
     title = "filler " * 400 + "zorb lamp u"
-    pages = [(0, "http://zorblamp.example.org/q", f"<title>{title}</title>")] + [(1, "http://a.org/", "<title>" + "other " * 600_000 + "</title>")]
+    pages = [(0, "http://zorblamp.example.org/q", f"<title>{title}</title><Title lang=en>zorb</Title>")]
     counts = url_filter.word_counts(spark.createDataFrame(pages, "page_id long, url string, html string"))
-    assert counts == {"zorb": 1, "lamp": 1, "q": 1, "__": 600_400, "_": 1}
+    assert {r.w: r.n for r in counts.collect()} == {"filler": 400, "zorb": 2, "lamp": 1, "u": 1, "q": 1}
+
+
+def test_urls_against_a_plain_version(spark, monkeypatch):
+    """Every split by trying all of them, every score from plain dictionaries; hot runs and others."""
+    monkeypatch.setattr(url_filter, "SHARE", 2)
+    urls = ["http://cheappills.a.org/x", "http://cheapnews.a.org/x", "http://xxcasinowin.example.org/science", "http://qqq.org/", "http://ab.cd.org/ab/ab", None] * 3 + ["http://spamspam.org/news"]
+    pages = spark.createDataFrame([(i, u, "<title>ab cd news casino zz</title>" if i % 2 else None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    counts = {}
+    for i, u in enumerate(urls):
+        path = "/" + u.split("/", 3)[3] if u else ""
+        for w in re.findall("[a-z]+", path) + (["ab", "cd", "news", "casino", "zz"] if i % 2 else []):
+            counts[w] = counts.get(w, 0) + 1
+    model = url_filter.UrlModel()
+    seg = model.segmenter(counts, sum(counts.values()), sum(n for w, n in counts.items() if url_filter.is_word(w)))
+
+    def best(name):
+        splits = [[name[a:b] for a, b in zip((0, *cut), (*cut, len(name)), strict=True)] for k in range(len(name)) for cut in combinations(range(1, len(name)), k)]
+        return max(splits, key=lambda x: (sum(seg.logs.get(w, seg.unknown(len(w))) for w in x)))
+
+    for r in url_filter.judge(pages).collect():
+        u = urls[r.page_id]
+        if not u:
+            assert r.verdict == "allow" and r.url_score is None
+            continue
+        runs = [x for label in u.split("/")[2].split(".")[:-1] for x in re.findall("[a-z]+", label)] + re.findall("[a-z]+", u.split("/", 3)[3])
+        want = model.bayes.score([w for x in runs for w in (best(x) if len(x) < 13 else seg.split(x))])
+        assert r.url_score == pytest.approx(want) and r.verdict == ("block" if want > 0 else "allow")
 
 
 def test_token_tables_round_trip(spark, tmp_path):
@@ -120,7 +149,8 @@ def test_token_tables_round_trip(spark, tmp_path):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes()))
         at += r.n_tokens
     assert [x.tolist() for x in token_tables.lookup(shards, 7)] == [want[7]] and token_tables.lookup(shards, 10**9) == []
-    assert token_tables.write(docs.where("false"), f"file://{tmp_path}/e") == []
+    assert token_tables.write(docs.where("false"), f"file://{tmp_path}/e") == [] == token_tables.manifest(f"file://{tmp_path}/e")
+    assert token_tables.manifest(f"file://{tmp_path}/t") == shards
 
 
 def test_secrets_against_regexes(spark):
@@ -214,7 +244,7 @@ def test_decontamination_against_brute_force(spark, block):
     rng = random.Random(2)
     word = lambda: rng.choice("ab cd ef gh ij".split())
     items = [("i1", " ".join(word() for _ in range(20))), ("i2", "Zq, zq! short"), ("i3", None), (None, "x y z"), ("i4", " ".join(word() for _ in range(30)))]
-    texts = [*ODD, items[0][1].upper() + " tail", "zq zq short", "pre " + items[4][1][6:60] + " post", " ".join(word() for _ in range(400))]
+    texts = [*ODD, items[0][1].upper() + " tail", "zq zq short", "pre " + items[4][1][6:60] + " post", " ".join(word() for _ in range(400)), "pre x y z, then"]
     docs = docs_of(spark, texts).withColumn("n_words", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id string, text string")
     words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -223,13 +253,13 @@ def test_decontamination_against_brute_force(spark, block):
     for i, t in enumerate(texts):
         w, hit, own = words(t), set(), set()
         for k, x in items:
-            v = words(x) if k else []
+            v = words(x)
             n = min(13, len(v))
             for g in {tuple(v[a : a + n]) for a in range(len(v) - n + 1)} if n else ():
                 for a in range(len(w) - n + 1):
                     if tuple(w[a : a + n]) == g:
                         hit |= set(range(a, a + n))
-                        own.add(k)
+                        own |= {k} - {None}
         assert (got[i].n_words, got[i].n_hit, sorted(got[i]["items"])) == (len(w), len(hit), sorted(own))
         if not (hit and 20 * len(hit) >= len(w)):
             clean.add(i)
@@ -240,8 +270,16 @@ def test_decontamination_against_brute_force(spark, block):
     assert decontamination.scan(docs, bench.where("false")).count() == len(texts) + 1
 
 
+def word_sets(text):
+    """The shingles as tuples of words, by the contract's own rules."""
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split("[ \\t-\\r]+", lower) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def jaccard_components(texts):
-    sets = {i: set(jaccard_join.shingles(t.encode() if t is not None else None).tolist()) for i, t in texts}
+    """{id: (size, component)} of (id, text) with unique ids, by comparing all pairs."""
+    sets = {i: word_sets(t) for i, t in texts}
     root = {i: i for i in sets}
     changed = True
     links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
@@ -275,6 +313,64 @@ def test_jaccard_join_against_brute_force(spark):
     assert jaccard_join.similar(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 12])
+def test_jaccard_join_by_combinations(spark, monkeypatch, block):
+    """Lists of frequent tokens that are longer than a block: combinations of tokens, then blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(block)
+    texts = []
+    for _ in range(3):  # families around the threshold, which share most of their text
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(70)]
+        for _ in range(45):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(70)] = f"m{rng.randint(0, 10**6)}"
+            at = rng.randint(0, 12)
+            texts.append(" ".join(w[at : at + rng.randint(50, 70)]))
+    want = jaccard_components(list(enumerate(texts)))
+    assert len({c for _, c in want.values()}) > 6
+    for frequent in (2, 10):
+        got = jaccard_join.similar(docs_of(spark, texts).where("doc_id is not null"), frequent=frequent).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_jaccard_join_uses_combinations_where_they_are_fewer(spark, monkeypatch):
+    """Sets of single words from a pool: every word is frequent, pairs of words aren't."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    lengths, plain = [], jaccard_join.combined
+    monkeypatch.setattr(jaccard_join, "combined", lambda *a: (lambda out: lengths.extend(r["k"] for r in out.select(F.size("key").alias("k")).distinct().collect()) or out)(plain(*a)))
+    rng = random.Random(12)
+    sets = []
+    for _ in range(1200):
+        s = set(rng.sample(range(400), 30))
+        sets.append(s)
+        if rng.random() < 0.2:
+            sets.append(set(rng.sample(sorted(s), rng.randint(24, 29))) | {rng.randrange(400)})
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in s), "en", "s", 0) for i, s in enumerate(sets)], DOCS)
+    root = list(range(len(sets)))
+    for i, j in combinations(range(len(sets)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = sorted((root[i], root[j]))
+            root = [a if x == b else x for x in root]
+    got = jaccard_join.similar(docs, shingle=1, frequent=10).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root)) and max(lengths) >= 2
+
+
+def test_jaccard_join_keeps_one_row_of_repeated_ids(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(5, text, "en", "s", 0), (5, text, "de", "s", 0), (9, text, "en", "s", 0), (9, text, "en", "s", 0), (None, text, "en", "s", 0), (None, text, "en", "s", 0), (7, None, None, None, None)], DOCS)
+    assert sorted((r.doc_id or 0) for r in jaccard_join.keep_one(docs).collect()) == [0, 0, 5, 7]
+    with pytest.raises(ValueError):
+        jaccard_join.similar(docs.withColumn("doc_id", docs.doc_id.cast("string")))
+
+
+def test_components_of_a_star(spark, monkeypatch):
+    monkeypatch.setattr(components, "SHARE", 5)
+    links = [(0, k) for k in range(1, 40)] + [(50, k) for k in range(30, 45)] + [(60, 61)]
+    got = components.components(spark.createDataFrame(links, "src long, dst long"))
+    assert {r["node"]: r["root"] for r in got.collect()} == {**dict.fromkeys([*range(45), 50], 0), 60: 60, 61: 60}
+
+
 def test_jaccard_join_where_rows_share_an_id(spark):
     rng = random.Random(6)
     word = lambda: f"w{rng.randint(0, 10**6)}"

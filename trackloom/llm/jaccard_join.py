@@ -1,23 +1,25 @@
 """N-gram Jaccard self-join by token-combination prefixes.
 
-A document's set holds the hashes of its distinct word shingles. Rows with equal sets are one class from the start; classes
+A document's set holds the 62-bit hashes of its distinct word shingles. Rows with equal sets are one class from the start; classes
 are numbered, in the order of their smallest ids, so an id of several texts has several classes, each with its own set.
 
 Prefixes. Tokens are put in one global order, rare ones by hash and after them the frequent ones, which a first pass has counted.
-Two sets of similarity t must share a token among the first ``n - ceil(t n) + 1`` of each, so only those prefixes are indexed.
-Pairs of a rare token's list are counted over all their shared prefix tokens, as combinations: overlap can be no more than
-the shared prefix tokens plus what lies behind both prefixes, so nearly all pairs that share a token or two go at once,
-and only pairs that share large combinations of tokens are verified on whole sets.
+Two sets of similarity t share their first common token within the first ``n - ceil(t n) + 1`` tokens of each, and their first k common
+tokens within k - 1 more, so nothing else is indexed.
 
-Frequent tokens still in a prefix stand in documents made of frequent tokens for the most part. Such a list is first joined to
-its smallest class; a list that this makes one component is settled, any other is verified in blocks of bounded size, whose
-tasks return a spanning forest of the links they find, never the pairs. No pair that may link is left out.
+Rare tokens are indexed singly. Pairs of a list are counted over all their shared prefix tokens: overlap can be no more than the
+shared prefix tokens plus what lies behind both prefixes, so nearly all pairs that share a token or two go at once.
 
-Hashes of tokens have 62 bits in the index and 40 in the sets that are verified.
+A frequent token's list is first joined to its smallest class; a list that this makes one component is settled. The lists left open are
+compared in one block each if they are small. A larger one is indexed by combinations instead: prefixes are extended by a token, and
+each member stands under every pair of the token and one behind it; lists of pairs that are still large are extended to triples and so on, as long
+as this makes fewer comparisons and pairs of different sets must share that many tokens. What is left is compared in blocks of bounded
+size, whose tasks return a spanning forest of the links they find, never the pairs. No pair that may link is left out.
 
 Defined results: null texts and texts without words have empty sets, link with nothing and are components of their own; texts of
-fewer words than a shingle are one shingle; rows that share an id are one document, which links by each of its texts; rows without an id are never
-linked and have no component; an empty table gives an empty result; other columns are not read.
+fewer words than a shingle are one shingle; texts of any length are taken whole; rows that share an id are one document, which links by each
+of its texts; rows without an id are never linked and have no component; ids that aren't integers are refused; of equal ids, sizes or
+hashes the order changes no result; an empty table gives an empty result; other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm._common import chunks, map_arrow, materialize, texts_of, worker_cache
+from trackloom.llm._common import chunks, discard, map_arrow, materialize, texts_of, worker_cache
 from trackloom.llm.components import components
 
 SHINGLE = 5
@@ -41,6 +43,8 @@ MOST_FREQUENT = 1_000_000
 MOST_IDS = 4_000_000
 BLOCK = 384
 STEPS = 16
+#: Tokens of the longest combinations of frequent tokens.
+MOST_COMBINED = 3
 _FLAG = np.int64(1 << 62)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,8 +81,8 @@ def prefix_length(n: int, t: tuple[int, int] = THRESHOLD) -> int:
     return n + (-t[0] * n // t[1]) + 1 if n else 0
 
 
-def mapped(docs: DataFrame, work, schema: str) -> DataFrame:
-    """work(id list, sets) -> arrow columns, over batches of bounded size."""
+def mapped(docs: DataFrame, work, schema: str, k: int) -> DataFrame:
+    """work(id list, sets of k words a shingle) -> arrow columns, over batches of bounded size."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
@@ -87,7 +91,7 @@ def mapped(docs: DataFrame, work, schema: str) -> DataFrame:
         for batch in batches:
             texts = texts_of(batch)
             for a, b in chunks([len(t or b"") for t in texts], 4 << 20):
-                yield pa.RecordBatch.from_arrays(work(batch.column(0).slice(a, b - a), [shingles(t) for t in texts[a:b]]), names=names)
+                yield pa.RecordBatch.from_arrays(work(batch.column(0).slice(a, b - a), [shingles(t, k) for t in texts[a:b]]), names=names)
 
     return map_arrow(docs, run, schema, "shingles")
 
@@ -100,28 +104,28 @@ def listed(arrays: list[np.ndarray]):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int64)))
 
 
-def frequent_tokens(docs: DataFrame, most: int) -> np.ndarray:
+def frequent_tokens(docs: DataFrame, most: int, k: int = SHINGLE) -> np.ndarray:
     """Tokens that more than ``most`` documents have among the first quarter of their set by hash; ``most`` doubles until they are few."""
 
     def work(ids, sets):
         return [listed([s[: max(prefix_length(len(s)), int(COUNTED * len(s)))] for s in sets])]
 
-    counts = mapped(docs, work, "tokens array<long>").select(F.explode("tokens").alias("k")).groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > most)
+    counts = mapped(docs, work, "tokens array<long>", k).select(F.explode("tokens").alias("k")).groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > most)
     counts = materialize(counts, "frequent")
     while counts.where(F.col("c") > most).count() > MOST_FREQUENT:
         most *= 2
     return np.sort(np.fromiter((r["k"] for r in counts.where(F.col("c") > most).toLocalIterator()), np.int64))
 
 
-def indexed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """id, n, a fingerprint of the set, the prefix's tokens in the global order and STEPS of them as a sketch of it."""
+def indexed(docs: DataFrame, frequent: np.ndarray, k: int = SHINGLE) -> DataFrame:
+    """id, n, a fingerprint of the set, the length p of its prefix, the tokens of the extended prefix in the global order and STEPS of the prefix as a sketch of it."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def work(ids, sets):
         import pyarrow as pa
 
         known = shared.value
-        keys, sketches = [], []
+        keys, lengths, sketches = [], [], []
         for s in sets:
             p, order = prefix_length(len(s)), s
             if len(known) and len(s):
@@ -130,23 +134,21 @@ def indexed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 if usual.any():
                     order = np.concatenate([s[~usual], s[usual] + _FLAG])
             own = order[:p]
-            keys.append(own)
+            keys.append(order[: p + MOST_COMBINED - 1])
+            lengths.append(p)
             sketches.append(own[-(-p * np.arange(1, STEPS + 1) // STEPS) - 1] if p else own)
         low, high = marks_of(sets)
-        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(low), pa.array(high), listed(keys), listed(sketches)]
+        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(low), pa.array(high), pa.array(lengths, pa.int32()), listed(keys), listed(sketches)]
 
-    return mapped(docs, work, "id long, n long, f1 long, f2 long, tokens array<long>, sketch array<long>")
+    return mapped(docs, work, "id long, n long, f1 long, f2 long, p int, tokens array<long>, sketch array<long>", k)
 
 
 def pack(s: np.ndarray) -> bytes:
-    """40 bits of each hash, sorted."""
-    return np.unique(s & ((1 << 40) - 1)).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return s.astype("<i8").tobytes()
 
 
 def unpack(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return out.view("<i8").ravel()
+    return np.frombuffer(b, "<i8")
 
 
 def marks_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,8 +160,8 @@ def marks_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
-def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, set) of these classes (cid, rid, f1, f2, n), where id is cid; ids are broadcast only if they are few enough."""
+def sets_of(docs: DataFrame, classes: DataFrame, repeated: bool, k: int = SHINGLE) -> DataFrame:
+    """(id, set) of these classes (cid, rid, f1, f2, n), where id is cid. repeated: whether a text may stand twice under one id."""
 
     def work(found, sets):
         import pyarrow as pa
@@ -169,14 +171,20 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     ids = classes.select(F.col("rid").alias("id")).distinct()
     few = ids.count() <= MOST_IDS
-    found = mapped(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi"), work, "f1 long, f2 long, n long, set binary")
+    found = mapped(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi"), work, "f1 long, f2 long, n long, set binary", k)
+    found = found.groupBy("f1", "f2", "n").agg(F.min("set").alias("set"))
     # An id's other texts have other fingerprints.
-    return found.groupBy("f1", "f2", "n").agg(F.min("set").alias("set")).join(classes, ["f1", "f2", "n"]).select(F.col("cid").alias("id"), "set")
+    return found.join(classes, ["f1", "f2", "n"]).select(F.col("cid").alias("id"), "set")
+
+
+def only(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """df's rows whose key is among the distinct keys, which are broadcast if they are few enough."""
+    return df.join(F.broadcast(keys) if keys.count() <= MOST_IDS else keys, name, "left_semi")
 
 
 def classes_of(linkable: DataFrame) -> DataFrame:
-    """A row for each set: f1, f2, n, tokens, sketch, its smallest id rid, and a number cid that grows with rid."""
-    found = linkable.groupBy("f1", "f2", "n").agg(F.min("id").alias("rid"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    """A row for each set: f1, f2, n, p, tokens, sketch, its smallest id rid, and a number cid that grows with rid."""
+    found = linkable.groupBy("f1", "f2", "n").agg(F.min("id").alias("rid"), F.first("p").alias("p"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     found = materialize(found, "classes")
     if found.groupBy("rid").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
         return found.withColumn("cid", F.col("rid"))
@@ -239,20 +247,65 @@ def forest(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], sizes: n
     return [(int(ids[k]), int(ids[r])) for k, r in enumerate(root) if k != r]
 
 
-def in_blocks(members: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Links (src, dst) among the members (token, c, id, comp, n, set) of each frequent token, by pairs of blocks."""
+def in_blocks(members: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Links (src, dst) among the members (key, c, cid, comp, n) of each list of c, by pairs of blocks."""
     count = F.ceil(F.col("c") / BLOCK).cast("int")
-    placed = members.withColumn("nb", count).withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    placed = placed.select("token", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "id", "comp", "n", "set")
+    placed = members.withColumn("nb", count).withColumn("b", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+    placed = placed.join(sets.withColumnRenamed("id", "cid"), "cid").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    placed = placed.select("key", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "cid", "comp", "n", "set")
 
     def work(keys, pdf):
         import pandas as pd
 
-        found = forest(pdf["id"].to_numpy(), pdf["comp"].to_numpy(), [unpack(s) for s in pdf["set"]], pdf["n"].to_numpy(), t)
+        found = forest(pdf["cid"].to_numpy(), pdf["comp"].to_numpy(), [unpack(s) for s in pdf["set"]], pdf["n"].to_numpy(), t)
         return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
 
-    return placed.groupBy("token", "b1", "b2").applyInPandas(work, "src long, dst long")
+    return placed.groupBy("key", "b1", "b2").applyInPandas(work, "src long, dst long")
+
+
+def open_lists(members: DataFrame) -> DataFrame:
+    """(key, c) of the lists that aren't one component yet; of lists of equal members the one of the smallest key.
+
+    A pair's key is made of its first common tokens. Where another list has the same members, its key is made of common tokens too, so none
+    that is smaller can exist: the smallest key is the one under which all pairs of these members are met.
+    """
+    mark = [F.sum(F.xxhash64(F.lit(k), "cid").cast("decimal(38,0)")).alias(f"m{k}") for k in (1, 2)]
+    lists = members.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *mark).where("lo <> hi")
+    return lists.groupBy("c", "m1", "m2").agg(F.min("key").alias("key")).select("key", "c")
+
+
+def combined(members: DataFrame, classes: DataFrame, longest: int) -> DataFrame:
+    """(key, c, cid, comp, n): lists of open keys, in which every pair of different components that may link is met.
+
+    members: (key, cid, comp, n) of single tokens, the key an array. Lists of more than BLOCK members are split by one token more, behind
+    the last one in the extended prefix, if the lists of the longer keys make less than half as many pairs.
+    """
+    done = []
+    for k in range(1, longest + 1):
+        lists = open_lists(members)
+        members = materialize(members.join(lists, "key").select("key", "c", "cid", "comp", "n"), "lists")
+        large = members.where(F.col("c") > BLOCK)
+        if k == longest or large.isEmpty():
+            return union([*done, members])
+        tokens = large.join(classes.select("cid", "p", "tokens"), "cid")
+        at = F.array_position("tokens", F.element_at("key", -1)).cast("int")
+        behind = F.slice("tokens", at + 1, F.greatest(F.col("p") + k - at, F.lit(0)))
+        longer = tokens.withColumn("u", F.explode(behind)).select("key", F.concat("key", F.array("u")).alias("longer"), "c", "cid", "comp", "n")
+        longer = materialize(longer, "combinations")
+        cost = longer.groupBy("key", "c", "longer").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        pairs = F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.col("m") * (F.col("m") - 1))
+        cost = cost.groupBy("key", "c").agg(F.sum(pairs).alias("pairs"))
+        split = materialize(cost.where(2 * F.col("pairs") < F.col("c") * (F.col("c") - 1)).select("key"), "split")
+        done.append(members.join(split, "key", "left_anti"))
+        members = longer.join(split, "key", "left_semi").select(F.col("longer").alias("key"), "cid", "comp", "n")
+    return union(done)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def bound(s: Column, x: str, y: str) -> Column:
@@ -265,15 +318,17 @@ def bound(s: Column, x: str, y: str) -> Column:
     return s + F.least(*behind)
 
 
-def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD, frequent: int = FREQUENT) -> DataFrame:
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD, shingle: int = SHINGLE, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of docs: its id, n_shingles and component_id, the smallest id that links reach."""
     t = threshold
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    usual = frequent_tokens(docs, frequent)
-    rows = materialize(indexed(docs, usual), "prefixes")
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError("ids must be integers")
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    usual = frequent_tokens(docs, frequent, shingle)
+    rows = materialize(indexed(docs, usual, shingle), "prefixes")
     linkable = rows.where("n > 0 and id is not null")
     classes = classes_of(linkable)
-    entries = classes.select("cid", "n", F.explode("tokens").alias("token"))
+    entries = classes.select("cid", "n", F.explode(F.slice("tokens", F.lit(1), F.col("p"))).alias("token"))
     lists = entries.groupBy("token").agg(F.count("*").alias("c"), F.min("cid").alias("first")).where("c > 1")
     shared = materialize(entries.join(lists, "token"), "shared")
     small, large = shared.where(F.col("c") <= frequent), shared.where(F.col("c") > frequent)
@@ -284,7 +339,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     pairs = groups.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
     pairs = pairs.where((F.col("x.cid") < F.col("y.cid")) & near(F.col("x.n"), F.col("y.n"))).groupBy("x.cid", "y.cid").agg(F.count("*").alias("s")).toDF("x", "y", "s")
     hidden = large.groupBy("cid").agg(F.count("*").alias("u"))
-    about = classes.select("cid", F.struct("n", F.size("tokens").alias("p"), "sketch").alias("a"))
+    about = classes.select("cid", F.struct("n", "p", "sketch").alias("a"))
     about = about.join(hidden, "cid", "left").select("cid", "a", F.coalesce("u", F.lit(0)).alias("u"))
     both = pairs.join(about.select(F.col("cid").alias("x"), F.col("a").alias("ax"), F.col("u").alias("ux")), "x").join(about.select(F.col("cid").alias("y"), F.col("a").alias("ay"), F.col("u").alias("uy")), "y")
     most = bound(F.col("s") + F.least("ux", "uy"), "ax", "ay")
@@ -296,18 +351,21 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     tried = materialize(likely.unionByName(star).distinct(), "pairs")
 
     needed = tried.select("x").union(tried.select("y")).union(large.select("cid")).distinct().toDF("cid")
-    sets = materialize(sets_of(docs, classes.select("cid", "rid", "f1", "f2", "n").join(needed, "cid", "left_semi")), "sets")
+    ids = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    repeated = materialize(ids, "repeated")
+    sets = materialize(sets_of(docs, classes.select("cid", "rid", "f1", "f2", "n").join(needed, "cid", "left_semi"), not repeated.isEmpty(), shingle), "sets")
     links = materialize(verified(tried, sets, t), "verified")
     part = components(links)
-    grouped = large.join(part.select(F.col("node").alias("cid"), F.col("root").alias("r")), "cid", "left").withColumn("comp", F.coalesce("r", "cid"))
-    open_ = grouped.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    members = grouped.join(open_, "token", "left_semi").select("token", "c", F.col("cid").alias("id"), "comp", "n").join(sets, "id")
-    more = materialize(in_blocks(members, t), "blocks")
+    # Sets of t0 / t1 that differ share t0 / (t1 - t0) tokens at least, so combinations of no more tokens lose nothing.
+    longest = max(1, min(MOST_COMBINED, t[0] // max(1, t[1] - t[0])))
+    grouped = large.join(part.select(F.col("node").alias("cid"), F.col("root").alias("r")), "cid", "left")
+    grouped = grouped.select(F.array("token").alias("key"), "cid", F.coalesce("r", "cid").alias("comp"), "n")
+    more = materialize(in_blocks(combined(grouped, classes, longest), sets, t), "blocks")
+    discard(sets, tried, shared)
     # Rows that share an id tie their classes together.
     narrow = classes.select("f1", "f2", "n", "cid", "rid")
-    repeated = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     own = linkable.select("id", "f1", "f2", "n").join(repeated, "id", "left_semi").join(narrow, ["f1", "f2", "n"]).select("id", "cid").distinct()
-    own = materialize(own, "repeated")
+    own = materialize(own, "own")
     least = own.groupBy("id").agg(F.min("cid").alias("a"))
     tied = own.join(least, "id").where("cid <> a").select(F.col("a").alias("src"), F.col("cid").alias("dst"))
     roots = components(links.unionByName(more).unionByName(tied))
@@ -322,12 +380,21 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with one document of each component: the smallest id; same columns. Rows without an id stay."""
-    found = similar(docs, id_col=id_col, **options)
-    gone = materialize(found.where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("_gone")).distinct(), "gone")
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one document of each component, the smallest id; same columns. Of rows that share that id one stays; rows without an id all stay."""
+    found = similar(docs, id_col=id_col, text_col=text_col, **options)
+    found = materialize(found.select(F.col(id_col).alias("_id"), "component_id").where("_id is not null"), "components")
+    gone = found.where("_id <> component_id").select("_id").distinct()
     few = gone.count() <= MOST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("_gone"), "left_anti")
+    own = docs[id_col]
+    out = docs.join(F.broadcast(gone) if few else gone, own == F.col("_id"), "left_anti")
+    twice = materialize(found.groupBy("_id").agg(F.count("*").alias("c")).where("c > 1 and _id is not null").select("_id"), "twice")
+    if twice.isEmpty():
+        return out
+    # Rows of an id that stands more than once are few next to the others, which need no shuffle.
+    twice = F.broadcast(twice) if twice.count() <= MOST_IDS else twice
+    once, again = out.join(twice, own == F.col("_id"), "left_anti"), out.join(twice, own == F.col("_id"), "left_semi")
+    return once.unionByName(again.dropDuplicates([id_col]))
 
 
 def op9(spark, sf_dir) -> DataFrame:
