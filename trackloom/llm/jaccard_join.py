@@ -170,9 +170,9 @@ def sets_of(docs: DataFrame, classes: DataFrame, repeated: bool, k: int = SHINGL
         return [pa.array(low), pa.array(high), pa.array([len(s) for s in sets], pa.int64()), pa.array([pack(s) for s in sets], pa.binary())]
 
     ids = classes.select(F.col("rid").alias("id")).distinct()
-    few = ids.count() <= MOST_IDS
-    found = mapped(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi"), work, "f1 long, f2 long, n long, set binary", k)
-    found = found.groupBy("f1", "f2", "n").agg(F.min("set").alias("set"))
+    found = mapped(only(docs, ids, "id"), work, "f1 long, f2 long, n long, set binary", k)
+    if repeated:
+        found = found.groupBy("f1", "f2", "n").agg(F.min("set").alias("set"))
     # An id's other texts have other fingerprints.
     return found.join(classes, ["f1", "f2", "n"]).select(F.col("cid").alias("id"), "set")
 
@@ -251,7 +251,8 @@ def in_blocks(members: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFr
     """Links (src, dst) among the members (key, c, cid, comp, n) of each list of c, by pairs of blocks."""
     count = F.ceil(F.col("c") / BLOCK).cast("int")
     placed = members.withColumn("nb", count).withColumn("b", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-    placed = placed.join(sets.withColumnRenamed("id", "cid"), "cid").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    own = only(sets.withColumnRenamed("id", "cid"), members.select("cid").distinct(), "cid")
+    placed = placed.join(own, "cid").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     placed = placed.select("key", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "cid", "comp", "n", "set")
 
     def work(keys, pdf):
@@ -287,7 +288,7 @@ def combined(members: DataFrame, classes: DataFrame, longest: int) -> DataFrame:
         large = members.where(F.col("c") > BLOCK)
         if k == longest or large.isEmpty():
             return union([*done, members])
-        tokens = large.join(classes.select("cid", "p", "tokens"), "cid")
+        tokens = large.join(only(classes.select("cid", "p", "tokens"), large.select("cid").distinct(), "cid"), "cid")
         at = F.array_position("tokens", F.element_at("key", -1)).cast("int")
         behind = F.slice("tokens", at + 1, F.greatest(F.col("p") + k - at, F.lit(0)))
         longer = tokens.withColumn("u", F.explode(behind)).select("key", F.concat("key", F.array("u")).alias("longer"), "c", "cid", "comp", "n")
