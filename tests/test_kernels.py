@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trackloom.evaluation import chords, keys
 from trackloom.functions import pitch
 from trackloom.nn import layers, models
-from trackloom.operators import catalog, decode, filterbanks, hmm, jumps, onsets, pooling, signals, spectra, structure, tempo, tracking, walks
+from trackloom.operators import analysis, catalog, decode, elliptic, filterbanks, hmm, jumps, onsets, pooling, signals, spectra, structure, tempo, tracking, walks
 
 rng = np.random.default_rng(4)
 
@@ -357,3 +357,54 @@ def test_read_through(spark):
     found, new = catalog.read_through(asked, cache, "k", lambda d: d.withColumn("v", F.lit(9)))
     assert sorted(map(tuple, found.collect())) == [("a", 1), ("b", 9)] and [tuple(r) for r in new.collect()] == [("b", 9)]
     assert catalog.read_through(asked, cache, "k", lambda d: d.withColumn("v", F.lit(9)), False)[1].count() == 2
+
+
+def test_elliptic_bands(spark):
+    """Within the ripple inside, below the rejection outside, and energy where the tone is."""
+    filters = elliptic.semitone_filters()
+    assert len(filters) == 88
+    for f, rate, sos in filters[::9]:
+        half = f / 25 / 2
+        inside = 20 * np.log10(elliptic.response(sos, np.linspace((f - half) * 2 / rate, (f + half) * 2 / rate, 101)))
+        assert inside.min() > -1.001 and inside.max() < 0.001
+        assert 20 * np.log10(elliptic.response(sos, [f * 1.2 / rate])).max() < -50
+    tone = np.sin(2 * np.pi * 110.0 * np.arange(882) / 882)
+    found = np.sum([r["m"] for r in elliptic.semitone_energies(series(spark, tone), 882.0, 50.0, 98.0, 124.0).collect()], 0)
+    assert found.argmax() == 2 and found[2] > 20 * found[0]
+
+
+def test_sliding_transform(spark):
+    x = np.sin(2 * np.pi * 20.0 * np.arange(400) / 200)
+    got = np.array([r["m"] for r in analysis.sliding_transform(series(spark, x), 200.0, 10.0, 4, 2, 50).orderBy("frame").collect()])
+    assert got.shape == (7, 8) and (got[3:].argmax(1) == 4).all() and got[-1, 4] == pytest.approx(0.5, abs=0.02)
+
+
+def song(spark):
+    parts = rng.normal(size=(4, 33))
+    v = np.repeat(parts[[0, 1, 0, 2]], 24, 0) + rng.normal(0, 0.05, (96, 33))
+    rows = [(1, i, i * 0.7, 1.0 if i < 92 else 0.0, 0.5, v[i, :20].tolist(), np.abs(v[i, 20:32]).tolist(), i % 4 == 0) for i in range(96)]
+    return spark.createDataFrame(rows, "track_id long, idx long, t double, rms double, centroid double, mfcc array<double>, chroma array<double>, downbeat boolean")
+
+
+def test_analyses_of_a_song(spark):
+    beats_, segments = analysis.analyze(song(spark), 16, 1.0, 8, 1.0, 8)
+    rows = beats_.orderBy("id").collect()
+    assert rows[-1]["id"] <= 91 and {r["start_time"] for r in segments.collect()} >= {pytest.approx(24 * 0.7), pytest.approx(48 * 0.7)}
+    assert all(c < len(rows) and abs(c - r["id"]) >= 8 and rows[c]["bar_position"] == (r["id"] + 1) % 4 for r in rows if r["id"] < len(rows) - 1 for c in r["jump_candidates"])
+    assert any(r["jump_candidates"] for r in rows) and max(r["energy"] for r in rows) == 1.0
+    labels = [r["label"] for r in analysis.analyze_spectral(song(spark), k=3).orderBy("i").collect()]
+    assert len({tuple(labels[a + 4 : a + 20]) for a in (0, 48)}) == 1 and labels[10] != labels[30] != labels[80]
+    for bars in (False, True):
+        older, _ = analysis.analyze_older(song(spark), bars)
+        assert 90 <= older.count() <= 96
+
+
+def test_log_filtered_and_banks(spark, tmp_path):
+    (tmp_path / "bank.json").write_text("[[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]]")
+    bank = analysis.read_bank(spark, str(tmp_path / "bank.json"))
+    assert bank.tolist() == [[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]]
+    x = rng.random((4, 6))
+    f = spark.createDataFrame([(1, i, r.tolist()) for i, r in enumerate(x)], "track_id long, frame long, samples array<double>")
+    m = np.log10(np.abs(np.fft.rfft(x * np.hanning(6), axis=1))[:, :3] @ bank + 1)
+    want = np.hstack([m, np.vstack([np.zeros((1, 2)), np.maximum(np.diff(m, axis=0) * 0.5, 0)])])
+    assert np.allclose([r["features"] for r in analysis.log_filtered(f, bank).orderBy("frame").collect()], want)
