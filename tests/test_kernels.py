@@ -370,7 +370,7 @@ def test_elliptic_bands(spark):
         assert 20 * np.log10(elliptic.response(sos, [f * 1.2 / rate])).max() < -50
     tone = np.sin(2 * np.pi * 110.0 * np.arange(882) / 882)
     found = np.sum([r["m"] for r in elliptic.semitone_energies(series(spark, tone), 882.0, 50.0, 98.0, 124.0).collect()], 0)
-    assert found.argmax() == 2 and found[2] > 20 * found[0]
+    assert found.argmax() == 1 and found[1] > 20 * found[0]
 
 
 def test_sliding_transform(spark):
@@ -389,7 +389,7 @@ def song(spark):
 def test_analyses_of_a_song(spark):
     beats_, segments = analysis.analyze(song(spark), 16, 1.0, 8, 1.0, 8)
     rows = beats_.orderBy("id").collect()
-    assert rows[-1]["id"] <= 91 and {r["start_time"] for r in segments.collect()} >= {pytest.approx(24 * 0.7), pytest.approx(48 * 0.7)}
+    assert rows[-1]["id"] <= 91 and {round(r["start_time"], 3) for r in segments.collect()} >= {16.8, 33.6}
     assert all(c < len(rows) and abs(c - r["id"]) >= 8 and rows[c]["bar_position"] == (r["id"] + 1) % 4 for r in rows if r["id"] < len(rows) - 1 for c in r["jump_candidates"])
     assert any(r["jump_candidates"] for r in rows) and max(r["energy"] for r in rows) == 1.0
     labels = [r["label"] for r in analysis.analyze_spectral(song(spark), k=3).orderBy("i").collect()]
@@ -408,3 +408,35 @@ def test_log_filtered_and_banks(spark, tmp_path):
     m = np.log10(np.abs(np.fft.rfft(x * np.hanning(6), axis=1))[:, :3] @ bank + 1)
     want = np.hstack([m, np.vstack([np.zeros((1, 2)), np.maximum(np.diff(m, axis=0) * 0.5, 0)])])
     assert np.allclose([r["features"] for r in analysis.log_filtered(f, bank).orderBy("frame").collect()], want)
+
+
+def test_patterns_and_bars_from_networks(spark):
+    """A pattern of three beats with its own mixtures, and downbeats from two networks over beat features."""
+    mixtures = [hmm.Mixture(np.ones(1), np.array([[m]]), np.array([[0.1]]), "diag") for m in (3.0, 0.0, 1.0, 0.0, 1.0, 0.0)]
+    bar = np.repeat([3.0, 0.0, 1.0, 0.0, 1.0, 0.0], 5)
+    rows = spark.createDataFrame([(1, i, [float(x)]) for i, x in enumerate(np.tile(bar, 6))], "track_id long, idx long, features array<double>")
+    got = tracking.decode_patterns(rows, 10.0, [(3, mixtures)], 50.0, 75.0).orderBy("t").collect()
+    assert [r["position"] for r in got][:6] == [2, 3, 1, 2, 3, 1] and np.allclose(np.diff([r["t"] for r in got]), 1.0)
+    frames = spark.createDataFrame([(1, i, [float(i % 40 < 10), 1.0]) for i in range(200)], "track_id long, frame long, m array<double>")
+    beats_ = spark.createDataFrame([(1, k * 1.0) for k in range(9)], "track_id long, t double")
+    sub = tracking.beat_subdivisions(frames, beats_, 10.0, 2).collect()
+    assert {(r["beat"], r["part"]) for r in sub} == {(b, p) for b in range(8) for p in range(2)}
+    nets = [layers.Network(layers.Dense(np.ones((2 * p, 1)) / (2 * p), np.zeros(1))) for p in (4, 2)]
+    got = models.bar_activations(frames, frames, beats_, *nets, fps=10.0).orderBy("idx").collect()
+    assert len(got) == 9 and got[-1]["x"] is None and got[0]["x"] > got[2]["x"]
+
+
+def test_recognisers_take_networks(spark):
+    s = series(spark, np.sin(np.arange(300) / 4))
+    size = lambda df: len(df.first()["features"])
+    net = lambda n, k: layers.Network(layers.Dense(np.full((n, k), 0.01), np.zeros(k), layers.sigmoid))
+    wide = size(models.multi_resolution(s, 4000.0, 100.0, per_octave=(3, 6, 12)))
+    assert models.downbeat_activations(s, net(wide, 3), 4000.0).columns == ["track_id", "frame", "beat", "downbeat"]
+    for f, n in ((models.beat_activations, (6, 6, 6)), (models.note_activations, (12, 12, 12))):
+        assert f(s, net(size(models.multi_resolution(s, 4000.0, 100.0, per_octave=n)), 2), 4000.0).count() == 8
+    bands = len(models.log_spectrum(s, 4000.0, 256, 50.0, 12, 60.0, 1500.0).first()["m"])
+    context = layers.Network(layers.Stride(5), layers.Dense(np.full((5 * bands, 2), 0.01), np.zeros(2)))
+    assert models.convolutional_activations(s, context, 4000.0, 256, 50.0, 12, 60.0, 1500.0, pad=2).count() == 4
+    assert layers.superframes(np.arange(10).reshape(5, 2), 3, 2).shape == (2, 3, 2)
+    labels = models.chords(spark.createDataFrame([(1, i, [float(i < 3), float(i >= 3)]) for i in range(6)], "track_id long, frame long, y array<double>"), hmm.Field([0, 0], [0, 0], [0, 0], [[0, -0.1], [-0.1, 0]], [[1, 0], [0, 1]]))
+    assert [r["label"] for r in labels.orderBy("start").collect()] == ["A:maj", "A#:maj"]

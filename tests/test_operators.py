@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trackloom.evaluation import base
 from trackloom.functions import vectors as V
 from trackloom.operators import catalog, decode, graph, matching, sequence
 
@@ -41,9 +42,8 @@ def test_filters_peaks_and_empty(spark):
 def test_matching(spark):
     d, a = beats(spark, [0] * 3).withColumn("t", F.col("t") * 2), beats(spark, [0] * 2).withColumn("t", F.col("t") * 2 + 1)
     assert [(r.t, r.match) for r in matching.closest(d, a).orderBy("t").collect()] == [(0.0, 1.0), (2.0, 3.0), (4.0, 3.0)]
-    m = matching.matched(d, a, 1.0).first()
-    assert (m.tp, m.fp, m.fn) == (2, 1, 0)
-    assert matching.scores(matching.matched(d, a, 1.0)).first().recall == 1.0
+    m = base.pooled(base.counted(base.matches(d, a, 1.0), "track_id")).first()
+    assert (m.tp, m.fp, m.fn, m.recall) == (2, 1, 0, 1.0)
 
 
 def test_nearest_against_numpy(spark):

@@ -132,3 +132,14 @@ def test_streams_with_state_go_on_where_they_stopped(spark, tmp_path):
         pipelines.run_online(step, stream, str(tmp_path / name), str(tmp_path / f"{name}-cp")).awaitTermination()
         got = sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).collect()))
         assert got == sorted(map(tuple, step(df).collect())) and got
+
+
+def test_more_writers(spark, tmp_path):
+    notes = spark.createDataFrame([("a", 0.5, 60.0, 0.25, 90.0), ("a", 0.25, 61.0, 0.5, 80.0)], "track_id string, onset double, pitch double, duration double, velocity double")
+    text.write_notes(notes, str(tmp_path / "n"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "n")).collect()] == ["0.250\t61\t0.500\t80", "0.500\t60\t0.250\t90"]
+    text.write_key(spark.createDataFrame([("a", "F# minor")], "track_id string, key string"), str(tmp_path / "k"), "key")
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "k")).collect()] == ["# key", "F# minor"]
+    acts = spark.createDataFrame([("a", 0, 0.5, 100), ("b", 0, 0.25, 100)], "track_id string, idx long, x double, fps int")
+    text.write_activations(acts, str(tmp_path / "x"))
+    assert sorted(r["x"] for r in text.read_activations(spark, str(tmp_path / "x")).collect()) == [0.25, 0.5]

@@ -16,12 +16,12 @@ from trackloom.operators.signals import frames as framed
 
 
 def predict(rows: DataFrame, network: Layer, column: str = "features", order: str = "frame", pad: int = 0) -> DataFrame:
-    """(track_id, frame, y): the network over each track's frames in order; one worker holds one track."""
+    """(track_id, frame, y): the network over each track's frames in order; one worker holds one track. pad: first and last frame are repeated so often, for networks that shorten their input."""
 
     def kernel(_, pdf):
         x = np.array(pdf[column].tolist(), float)
         y = np.asarray(network(padded(x, pad) if pad else x))
-        y = y.reshape(len(y), -1) if y.ndim else y.reshape(1, 1)
+        y = (y.reshape(len(y), -1) if y.ndim else y.reshape(1, 1))[: len(x)]
         return {order: pdf[order].to_numpy()[: len(y)], "y": list(y)}
 
     return hmm.by_track(rows, kernel, f"{order} long, y array<double>", order)

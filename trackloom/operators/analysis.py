@@ -32,13 +32,13 @@ def jump_edges(b: DataFrame, k: int = 10, lag: int = 8) -> DataFrame:
     return graph.jump_graph(structure.lagged(structure.zscored(feature(b, "mfcc", "chroma")), lag), k)
 
 
-def assembled(b: DataFrame, labels: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def assembled(b: DataFrame, labels: DataFrame, edges: DataFrame, prune: bool = True) -> tuple[DataFrame, DataFrame]:
     """(beats, segments): beats with duration, bar position, label, segment, place in it, quartile, candidates, energy and novelty over their maxima.
 
-    labels: (track_id, i, label, novelty); edges: candidates (track_id, src, dst, rank).
+    labels: (track_id, i, label, novelty); edges: candidates (track_id, src, dst, rank). prune: beats at the end that have none go.
     """
     j = b.join(labels.withColumnRenamed("i", "idx"), ["track_id", "idx"])
-    rows, left = jumps.pruned(j, edges)
+    rows, left = jumps.pruned(j, edges) if prune else (j, edges)
     rows = kept(sequence.quartiles(sequence.durations(sequence.with_runs(rows))), "rows")
     rows = pooling.over_maximum(pooling.over_maximum(rows, "rms", "energy"), "novelty")
     rows = jumps.nested(rows, left, "rank")
@@ -94,7 +94,7 @@ def analyze_older(b: DataFrame, with_bars: bool = False) -> tuple[DataFrame, Dat
     b = b.join(cut, ["track_id", "idx"], "left_semi")
     labelled = kept(b.join(labels.withColumnRenamed("i", "idx"), ["track_id", "idx"]), "labelled")
     edges = kept(jumps.candidates_v2(labelled) if with_bars else jumps.candidates_v1(labelled), "candidates")
-    return assembled(b, labels, edges.withColumn("rank", F.col("dst")))
+    return assembled(b, labels, edges.withColumn("rank", F.col("dst")), prune=False)
 
 
 def similarity_report(edges: DataFrame, share: tuple[float, ...] = (0.5, 0.75, 0.85, 0.95), bins: int = 10) -> DataFrame:

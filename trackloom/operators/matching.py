@@ -36,44 +36,9 @@ def sizes(detections: DataFrame, annotations: DataFrame) -> DataFrame:
     return n(detections, "nd").join(n(annotations, "na"), "track_id", "full").select("track_id", F.coalesce("nd", F.lit(0)).alias("nd"), F.coalesce("na", F.lit(0)).alias("na"))
 
 
-def gaussian_accuracy(detections: DataFrame, annotations: DataFrame, sigma: float) -> DataFrame:
-    """Sum of exp(-e^2 / 2 sigma^2) over annotations' nearest detections, over the mean of both counts."""
-    e = closest(annotations, detections).groupBy("track_id").agg(F.sum(F.exp(-F.col("error") ** 2 / (2 * sigma**2))).alias("s"))
-    return sizes(detections, annotations).join(e, "track_id", "left").select("track_id", (F.coalesce("s", F.lit(0.0)) / ((F.col("nd") + F.col("na")) / 2)).alias("cemgil"))
-
-
 def interval_accuracy(detections: DataFrame, annotations: DataFrame, tolerance: float) -> DataFrame:
     """Share of detections within tolerance times the annotations' median interval, over the larger count."""
     w = Window.partitionBy("track_id").orderBy("t")
     gap = annotations.withColumn("g", F.col("t") - F.lag("t").over(w)).groupBy("track_id").agg(F.median("g").alias("m"))
     ok = closest(detections, annotations).join(gap, "track_id").groupBy("track_id").agg(F.count_if(F.abs("error") <= tolerance * F.col("m")).alias("hits"))
     return sizes(detections, annotations).join(ok, "track_id", "left").select("track_id", (F.coalesce("hits", F.lit(0)) / F.greatest("nd", "na")).alias("pscore"))
-
-
-def matched(detections: DataFrame, annotations: DataFrame, window: float) -> DataFrame:
-    """Greedy one-to-one matching of both sorted sides: true positives, false positives and false negatives by track."""
-
-    def walk(key, d, a):
-        import pandas as pd
-
-        x, y, i, j, tp = sorted(d["t"]), sorted(a["t"]), 0, 0, 0
-        while i < len(x) and j < len(y):
-            if abs(x[i] - y[j]) <= window:
-                tp, i, j = tp + 1, i + 1, j + 1
-            elif x[i] < y[j]:
-                i += 1
-            else:
-                j += 1
-        return pd.DataFrame({"track_id": [key[0]], "tp": [tp], "fp": [len(x) - tp], "fn": [len(y) - tp]})
-
-    d, a = detections.select("track_id", "t"), annotations.select(F.col("track_id").alias("k"), F.col("t").alias("t"))
-    return d.groupBy("track_id").cogroup(a.groupBy("k")).applyInPandas(walk, "track_id long, tp long, fp long, fn long")
-
-
-def scores(counts: DataFrame, *by: str) -> DataFrame:
-    """Precision, recall and F of summed counts; an empty denominator gives 1 (precision, recall) and 0 (F)."""
-    s = counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    p = F.when(F.col("tp") + F.col("fp") == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fp")))
-    r = F.when(F.col("tp") + F.col("fn") == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fn")))
-    s = s.withColumn("precision", p).withColumn("recall", r)
-    return s.withColumn("f", F.when(F.col("precision") + F.col("recall") == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))

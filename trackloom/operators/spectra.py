@@ -108,10 +108,6 @@ def diff_frames(ratio: float, hop: float, size: int, window=np.hanning) -> int:
     return int(max(1, round(below / hop)))
 
 
-def stacked(a: Column | str, b: Column | str) -> Column:
-    return F.concat(a, b)
-
-
 def bands(s: DataFrame, weights: np.ndarray, column: str = "m", name: str = "bands") -> DataFrame:
     from trackloom.operators.filterbanks import filtered
 

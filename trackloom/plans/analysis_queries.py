@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import pitch
-from trackloom.operators import analysis, elliptic, filterbanks, graph, sequence, signals
-from trackloom.plans.queries import BEATS, KNN, beats, r6, register, tracks
+from trackloom.operators import analysis, catalog, elliptic, filterbanks, graph, jumps, onsets, sequence, signals, tempo
+from trackloom.plans.queries import BEATS, KNN, RUNS, beats, r6, register, tracks
 from trackloom.sources.tracks import event_tracks, table
 from trackloom.streaming import online
 
@@ -66,3 +66,15 @@ tracks("analysis_v2", None, lambda f: analysis.analyze_older(feature_beats(f), T
 beats("log_filtered", None, lambda b: analysis.log_filtered(signals.frames(b, 16, 4), filterbanks.mel_bank(pitch.bin_grid(8, 100.0), 4, 5.0, 50.0)))
 beats("sliding_transform", None, lambda b: analysis.sliding_transform(b, 100.0, 5.0, 4, 2, 8))
 beats("semitone_energies", None, lambda b: elliptic.semitone_energies(sequence.durations(b).select("track_id", "idx", (F.col("x") / 500).alias("x")), 882.0, 50.0, 100.0, 110.0))
+
+# --- small operators ------------------------------------------------------------------------------------------------------------------------
+
+beats("rescale", f"WITH {BEATS} SELECT track_id, idx, round(CAST(x * 60 AS INTEGER) / 32767.0, 9) AS x FROM b", lambda b: b.select("track_id", "idx", F.round(signals.rescale(F.rint(F.col("x") * 60).cast("int"), 16), 9).alias("x")))
+STREAM = BEATS + ", s AS (SELECT track_id, idx AS step, idx * 3 AS beat, idx * 1.5 AS stream FROM b), q AS (SELECT DISTINCT track_id, idx * 2.25 AS position FROM b), o AS (SELECT q.track_id, q.position, s.step, s.beat FROM q ASOF JOIN s ON s.track_id = q.track_id AND s.stream <= q.position)"
+beats("client_sync", f"WITH {STREAM} SELECT track_id, CAST(position AS DOUBLE) AS position, step, beat FROM o", lambda b: jumps.at_position(b.select("track_id", F.col("idx").alias("step"), (F.col("idx") * 3).alias("beat"), (F.col("idx") * 1.5).alias("stream")), b.select("track_id", (F.col("idx") * 2.25).alias("position"))))
+TRIMMED = RUNS + ", g AS (SELECT track_id, run AS segment, min(t) AS start_time, max(t) AS last_t FROM r GROUP BY ALL), s AS (SELECT track_id, segment, start_time, coalesce(lead(start_time) OVER (PARTITION BY track_id ORDER BY segment), last_t) AS end_time FROM g), e AS (SELECT track_id, avg(t) AS e FROM b GROUP BY track_id)"
+beats("trim_segments", f"WITH {TRIMMED} SELECT track_id, segment, start_time, round(least(end_time, e), 3) AS end_time FROM s JOIN e USING (track_id) WHERE start_time < least(end_time, e)", lambda b: jumps.trimmed_segments(sequence.run_segments(b), b.groupBy("track_id").agg(F.avg("t").alias("end_time"))).select("track_id", "segment", "start_time", F.round("end_time", 3).alias("end_time")))
+beats("score_table", f"WITH {BEATS} SELECT track_id, idx AS k, format('{{:<10d}} {{:<15.2f}}', idx, x) AS line FROM b", lambda b: catalog.score_table(b.select("track_id", F.col("idx").alias("k"), F.col("x").alias("score"))).withColumn("line", F.regexp_replace("line", r"(\.\d\d)00", "$1  ")))
+register("expand_notes", "SELECT l_orderkey AS onset, CAST(l_linenumber AS BIGINT) AS pitch, 0.6::DOUBLE AS duration, 100.0::DOUBLE AS velocity FROM lineitem")(lambda spark, d: onsets.expanded_notes(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("onset"), F.col("l_linenumber").cast("long").alias("pitch"))))
+beats("step_samples", f"WITH {BEATS} SELECT track_id, idx AS step, idx * 100 AS first, idx * 100 + 100 AS last FROM b WHERE idx % 2 = 0", lambda b: analysis.chunk_of(b.where("idx % 2 = 0").select("track_id", F.col("idx").alias("step"), F.col("idx").alias("beat")), b.select("track_id", "idx", (F.col("idx") * 100).alias("first"), (F.col("idx") * 100 + 100).alias("last"))))
+register("tempo_classes", "SELECT CAST(vec_id AS BIGINT) AS track_id, k - 1 AS tau, CAST(embedding[k] AS DOUBLE) AS strength FROM embeddings, range(1, 65) q(k) WHERE k - 1 BETWEEN 40 AND 60")(lambda spark, d: tempo.histogram_classes(table(spark, d, "embeddings").select(F.col("vec_id").alias("track_id"), F.col("embedding").alias("classes")), 40.0, 60.0))
