@@ -69,21 +69,12 @@ class Recent:
         self.old: dict[bytes, bytes] = {}
         self.size = 0
 
-    def get(self, key: bytes) -> bytes | None:
-        x = self.young.get(key)
-        if x is None:
-            x = self.old.get(key)
-            if x is not None:
-                self.put(key, x)
-        return x
-
-    def put(self, key: bytes, value: bytes) -> None:
-        if len(key) > self.longest:
-            return
-        self.size += len(key) + len(value) + self.ENTRY
+    def put(self, entries: dict[bytes, bytes]) -> None:
+        entries = {k: v for k, v in entries.items() if len(k) <= self.longest}
+        self.size += sum(map(len, entries)) + sum(map(len, entries.values())) + self.ENTRY * len(entries)
         if self.size > self.half:
             self.old, self.young, self.size = self.young, {}, 0
-        self.young[key] = value
+        self.young.update(entries)
 
 
 class WordEncoder:
@@ -95,14 +86,15 @@ class WordEncoder:
     """
 
     #: Words counted before the most frequent ones get a table of their own.
-    COUNTED = 500_000
-    MOST_HOT, WORD_BYTES, PIECE_BYTES = 30_000, 52 << 20, 40 << 20
+    COUNTED = 250_000
+    MOST_HOT, WORD_BYTES, PIECE_BYTES = 30_000, 176 << 20, 112 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
         self.hot: dict[bytes, bytes] = {}
@@ -117,38 +109,38 @@ class WordEncoder:
         letters = unicodedata.normalize("NFC", core.decode()).lower()
         return letters.encode().decode("latin-1").translate(_SYMBOLS) if letters.isalpha() and max(letters) < "\u0250" else ""
 
-    def model_ids(self, symbols: str) -> bytes:
-        """The library's model alone, on what normaliser and splitter would leave whole."""
-        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
-
-    def word(self, word: bytes) -> bytes | None:
-        """The ids of marks, letters and marks; None for words of another build."""
-        tail = word.lstrip(_MARKS)
-        core = tail.rstrip(_MARKS)
-        x = self.pieces.get(core)
-        if x is None:
-            symbols = core.lower().decode() if core.isalpha() else "" if core.isascii() else self.latin(core)
-            if not symbols:
-                return None
-            x = self.model_ids(symbols)
-            self.pieces.put(core, x)
-        if len(core) == len(word):
-            return x
-        return self.run(word[: len(word) - len(tail)]) + x + self.run(tail[len(core) :])
-
     def run(self, marks: bytes) -> bytes:
+        """The ids of a run of marks: the library's model alone, as normaliser and splitter leave it whole."""
         x = self.marks.get(marks)
         if x is None:
-            x = self.model_ids(marks.decode())
+            x = array(self.kind, [t.id for t in self.model.tokenize(marks.decode())]).tobytes()
             if len(marks) <= 8 and len(self.marks) < 20_000:
                 self.marks[marks] = x
         return x
 
     def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
-        out = {w: self.word(w) for w in new}
-        odd = [w for w, x in out.items() if x is None]
+        """The ids of words: marks, letters and marks are put together, words of another build are encoded as they are."""
+        young, old, fresh = self.pieces.young.get, self.pieces.old.get, {}
+        tokenize, kind, run, out, odd = self.model.tokenize, self.kind, self.run, {}, []
+        for w in new:
+            tail = w.lstrip(_MARKS)
+            core = tail.rstrip(_MARKS)
+            x = young(core) or fresh.get(core)
+            if x is None:
+                x = old(core)
+                if x is None:
+                    symbols = core.lower().decode() if core.isalpha() else "" if core.isascii() else self.latin(core)
+                    if not symbols:
+                        odd.append(w)
+                        continue
+                    x = array(kind, [t.id for t in tokenize(symbols)]).tobytes()
+                fresh[core] = x
+            if len(core) != len(w):
+                x = run(w[: len(w) - len(tail)]) + x + run(tail[len(core) :])
+            out[w] = x
+        self.pieces.put(fresh)
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)
-        out.update((w, array(self.kind, e.ids).tobytes()) for w, e in zip(odd, encoded, strict=True))
+        out.update((w, array(kind, e.ids).tobytes()) for w, e in zip(odd, encoded, strict=True))
         return out
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
@@ -172,15 +164,13 @@ class WordEncoder:
                         continue
                     again[w] = x
                 found[i] = x
-        for w, x in again.items():
-            self.words.put(w, x)
+        if again:
+            self.words.put(again)
         if new:
             fresh = self.learn({flat[i] for i in new})
             for i in new:
                 found[i] = fresh[flat[i]]
-            put = self.words.put
-            for w, x in fresh.items():
-                put(w, x)
+            self.words.put(fresh)
         if self.tally is not None:
             self.tally.update(zip(flat, found, strict=True))
             if self.tally.total() > self.COUNTED:
