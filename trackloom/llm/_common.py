@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import threading
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,17 +79,34 @@ def of_kind(kind: str):
 
 
 _SLOT: tuple = (None, None)
+_USED = 0.0
+_WATCH = None
+#: Seconds after which a worker that does nothing gives its cache back: idle workers stay alive between stages.
+IDLE = 10.0
 
 
 def worker_cache(key, make):
-    """A Python worker's cache of words. Workers live on from one operator to the next, so each keeps that of one operator only."""
-    global _SLOT
+    """A Python worker's cache of words. Workers live on from one operator to the next, so each keeps that of one operator only, and only while it is used."""
+    global _SLOT, _USED, _WATCH
+    _USED = time.monotonic()
     if _SLOT[0] != key:
         _SLOT = (None, None)
         _SLOT = (key, make())
+        if _WATCH is None or not _WATCH.is_alive():
+            _WATCH = threading.Thread(target=watch, daemon=True)
+            _WATCH.start()
     return _SLOT[1]
 
 
+def watch() -> None:
+    """Empties the cache when nobody has asked for it for a while, and ends."""
+    global _SLOT
+    while time.monotonic() - _USED < IDLE:
+        time.sleep(1)
+    _SLOT = (None, None)
+    give_back()
+
+
 #: Bytes that go to a Python worker at once, where the session says nothing. Texts are long, and a worker's memory is mostly that of one batch.
 BATCH_BYTES = "4m"
 

@@ -381,6 +381,8 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: i
         system, folder = fs.FileSystem.from_uri(path)
         writer = stream = part = None
         for batch in batches:
+            # Asked for again, so that the cache counts as used.
+            e = encoder(name)
             ids, texts = batch.column(0).to_pylist(), texts_of(batch)
             for a, b in chunks([len(t or b"") for t in texts], 1 << 20):
                 for key, value in zip(ids[a:b], e.encode(texts[a:b]), strict=True):
