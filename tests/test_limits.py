@@ -33,3 +33,10 @@ def test_beats_beyond_one(spark):
     b = beats_and_more(spark, "track_id long, idx long, x double", [(k, i, float(v)) for k in (1, 2) for i, v in enumerate(x)])
     got = [r["t"] for r in tracking.decode_beats(b, 10.0, 60.0, 200.0).where("track_id = 1").orderBy("t").collect()]
     assert 1.3 in got and np.allclose(np.diff(got), 0.5)
+
+
+def test_bars_beyond_one(spark):
+    rows = [(1, i, i * 0.5, 1.2 if i % 4 == 0 else 0.1) for i in range(12)]
+    rows += [(2, i, i * 0.5, 1.2 if i in (4, 5) else 0.1) for i in range(12)]
+    got = tracking.decode_bars(beats_and_more(spark, "track_id long, idx long, t double, x double", rows)).orderBy("track_id", "t").collect()
+    assert [r["position"] for r in got] == [1, 2, 3, 4] * 3 + [None] * 12 and [r["t"] for r in got] == [i * 0.5 for i in range(12)] * 2

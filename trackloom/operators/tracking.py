@@ -251,16 +251,23 @@ def decode_patterns(rows: DataFrame, fps: float, patterns: list[tuple[int, list[
 
 
 def decode_bars(b: DataFrame, beats_per_bar: tuple[int, ...] = (3, 4), weight: float = 100.0, change: float = 1e-7) -> DataFrame:
-    """(track_id, t, position) of known beats (track_id, idx, t, x), x saying how likely each is a downbeat; the last beat's x isn't read."""
+    """(track_id, t, position) of known beats (track_id, idx, t, x), x saying how likely each is a downbeat; the last beat's x isn't read.
+
+    Beats that no path explains stay, without a position.
+    """
     spaces = [hmm.bar_space(k, 1, 1) for k in beats_per_bar]
     space = hmm.joined_space(spaces)
     model = hmm.Model(hmm.pattern_transitions(spaces, 1.0, change), hmm.beat_pointers(space, weight))
 
     def kernel(_, pdf):
+        import pandas as pd
+
         t, x = pdf["t"].to_numpy(float), pdf["x"].to_numpy(float)
         if len(t) < 2:
             return {"t": t, "position": np.ones(len(t), int)}
         path = model.viterbi(hmm.beat_densities(x[:-1], weight))[0]
+        if not len(path):
+            return {"t": t, "position": pd.array([None] * len(t), "Int64")}
         number = space.positions[path].astype(int) + 1
         return {"t": t, "position": np.append(number, number[-1] % beats_per_bar[space.patterns[path[-1]]] + 1)}
 
