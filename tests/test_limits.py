@@ -47,3 +47,10 @@ def test_notes_with_offsets_below_zero(spark):
     rows = [(1, 60, i, x, 0.9 if i == 5 else 0.05, 0.9 if i == 15 else -0.01 if i == 8 else 0.05) for i, x in enumerate(note)]
     b = beats_and_more(spark, "track_id long, pitch int, idx long, note double, onset double, offset double", rows)
     assert [(r["pitch"], r["onset"]) for r in tracking.decode_notes(b, 50.0, complete=False).collect()] == [(60, 0.08)]
+
+
+def test_downbeats_beyond_one(spark):
+    rows = [(1, i, 0.65 if i == 40 else 0.05 if i % 20 else 0.1, 0.6 if i == 40 else 0.8 if i % 20 == 0 else 0.01) for i in range(100)]
+    rows = [(k, i, 0.8 if i % 5 == 0 and i % 20 else x, y) for k, i, x, y in rows]
+    got = tracking.decode_downbeats(beats_and_more(spark, "track_id long, idx long, beat double, downbeat double", rows), 10.0, (3, 4), 60.0, 200.0).orderBy("t").collect()
+    assert (4.0, 1) in [(r["t"], r["position"]) for r in got]
