@@ -2,10 +2,13 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from trackloom.operators import hmm, tracking
+from trackloom.sources import audio
 
 rng = np.random.default_rng(9)
 
@@ -54,3 +57,25 @@ def test_downbeats_beyond_one(spark):
     rows = [(k, i, 0.8 if i % 5 == 0 and i % 20 else x, y) for k, i, x, y in rows]
     got = tracking.decode_downbeats(beats_and_more(spark, "track_id long, idx long, beat double, downbeat double", rows), 10.0, (3, 4), 60.0, 200.0).orderBy("t").collect()
     assert (4.0, 1) in [(r["t"], r["position"]) for r in got]
+
+
+def by_sql(spark, folder, name, values):
+    """Rows of a query and of its SQL on events with these values, eight to a track."""
+    rows = [(i, i, i // 8, "click", float(v)) for i, v in enumerate(values)]
+    path = str(folder / "events.parquet")
+    spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double").selectExpr("event_id", "timestamp_seconds(s) as ts", "user_id", "event_type", "value").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT * REPLACE (CAST(ts AS TIMESTAMP) AS ts) FROM '{path}/*.parquet'")
+    df = entry.queries()[name](spark, str(folder))
+    return sorted(map(tuple, df.collect())), sorted(con.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def test_onsets_on_the_threshold_as_sql_adds(spark, tmp_path):
+    draw, values = np.random.default_rng(1), []
+    while len(values) < 8 * 400:
+        near = draw.integers(0, 20_000, 3)
+        top = int(near.sum()) + 8000  # three times the cents that lie on the threshold
+        if top % 3 == 0 and top // 3 >= near.max():
+            values += [*(draw.integers(0, 30_000, 4) / 100), *(near / 100), top // 3 / 100]
+    got, wanted = by_sql(spark, tmp_path, "online_onsets", values)
+    assert got == [(k, float(t)) for k, t in wanted]

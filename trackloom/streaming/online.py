@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,7 +111,8 @@ def online_onsets(activations: DataFrame, threshold: float, fps: float = 100.0,
         out = []
         for i, x in zip(rows["idx"], rows["x"], strict=True):
             near = [*near, float(x)][-(max(pre_avg, pre_max) + 1) :]
-            mean = sum(near[-(pre_avg + 1) :]) / (pre_avg + 1) if pre_avg else 0.0
+            # In order and uncompensated, as SQL adds: sum() rounds otherwise, which decides rows that lie on the threshold.
+            mean = reduce(add, near[-(pre_avg + 1) :]) / (pre_avg + 1) if pre_avg else 0.0
             t = i / fps
             if x != 0 and x >= mean + threshold and x >= max(near[-(pre_max + 1) :]) and (last is None or t - last > combine + 1e-12):
                 out.append((t,))
