@@ -79,3 +79,14 @@ def test_onsets_on_the_threshold_as_sql_adds(spark, tmp_path):
             values += [*(draw.integers(0, 30_000, 4) / 100), *(near / 100), top // 3 / 100]
     got, wanted = by_sql(spark, tmp_path, "online_onsets", values)
     assert got == [(k, float(t)) for k, t in wanted]
+
+
+def test_wave_samples_beyond_full_scale(spark, tmp_path):
+    got, wanted = by_sql(spark, tmp_path, "wave_samples", [0.01, 599.99, 600.0, 600.01, 720.5, -650.0, 12.34, 90_000.0])
+    assert got == wanted
+
+
+def test_whole_samples_must_fit():
+    assert audio.parse_wave(audio.wave_bytes(np.array([-32768, 32767]), 8000))[2].ravel().tolist() == [-32768, 32767]
+    with pytest.raises(ValueError):
+        audio.wave_bytes(np.array([32768]), 8000)

@@ -47,8 +47,10 @@ def parse_wave(data: bytes) -> tuple[int, int, np.ndarray]:
 
 
 def wave_bytes(samples: np.ndarray, rate: int, bits: int = 16) -> bytes:
-    """A wave file of samples (x channels): integers as they are, floats in [-1, 1] scaled and cut."""
+    """A wave file of samples (x channels): integers as they are, if they fit, floats in [-1, 1] scaled and cut."""
     x = np.atleast_2d(np.asarray(samples).T).T
+    if np.issubdtype(x.dtype, np.integer) and x.size and not -(1 << (bits - 1)) <= x.min() <= x.max() < 1 << (bits - 1):
+        raise ValueError(f"samples do not fit {bits} bits")
     if np.issubdtype(x.dtype, np.floating):
         x = np.clip(np.rint(x * ((1 << (bits - 1)) - 1)), -(1 << (bits - 1)), (1 << (bits - 1)) - 1)
     x = x.astype("<i4")
@@ -111,12 +113,13 @@ def samples(files: DataFrame, mono: bool = True, start: float | None = None, sto
 
 
 def wave_files(signal: DataFrame, rate: int, bits: int = 16) -> DataFrame:
-    """(track_id, content): one wave file of each track's samples (track_id, idx, x)."""
+    """(track_id, content): one wave file of each track's samples (track_id, idx, x); integers are written as they are."""
+    whole = dict(signal.dtypes)["x"].split("<")[-1].rstrip(">") in ("tinyint", "smallint", "int", "bigint")
 
     def work(key, pdf):
         import pandas as pd
 
-        x = np.array(pdf.sort_values("idx")["x"].tolist(), float)
+        x = np.array(pdf.sort_values("idx")["x"].tolist(), np.int64 if whole else float)
         return pd.DataFrame({"track_id": [str(key[0])], "content": [wave_bytes(x, rate, bits)]})
 
     return signal.groupBy("track_id").applyInPandas(work, "track_id string, content binary")
