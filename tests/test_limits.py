@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from trackloom.operators import hmm, tracking
+from trackloom.operators import hmm, structure, tracking
 from trackloom.sources import audio
 
 rng = np.random.default_rng(9)
@@ -90,3 +90,22 @@ def test_whole_samples_must_fit():
     assert audio.parse_wave(audio.wave_bytes(np.array([-32768, 32767]), 8000))[2].ravel().tolist() == [-32768, 32767]
     with pytest.raises(ValueError):
         audio.wave_bytes(np.array([32768]), 8000)
+
+
+def vectors(spark, v, label=None):
+    rows = [(1, i, x.tolist(), int(label[i]) if label is not None else i // 16) for i, x in enumerate(v)]
+    return spark.createDataFrame(rows, "track_id long, i long, v array<double>, label long")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_silhouette_over_blocks(spark):
+    v = rng.normal(size=(2100, 3))
+    v[7] = v[2050]
+    label = rng.integers(0, 3, 2100)
+    label[5] = 9
+    out = structure.silhouette(vectors(spark, v, label))
+    assert "Join" not in plan_of(out)
+    assert np.isclose(out.first()["silhouette"], structure.silhouette_of(v, label))

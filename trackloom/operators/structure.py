@@ -133,11 +133,72 @@ def band_sigma(f: DataFrame, reach: int = 50) -> DataFrame:
 
 def segment_affinity(frames: DataFrame, sigma: DataFrame) -> DataFrame:
     """(track_id, a, b, affinity): mean Gaussian affinity of all pairs of different frames of two segments, both ways."""
-    s = frames.join(sigma, "track_id")
-    other = frames.select("track_id", F.col("i").alias("j"), F.col("segment").alias("b"), F.col("v").alias("w"))
-    d = distance("v", "w")
-    pairs = s.join(other, "track_id").where("i <> j")
-    return pairs.groupBy("track_id", F.col("segment").alias("a"), "b").agg(F.avg(F.exp(-(d * d) / (F.col("sigma") * F.col("sigma")))).alias("affinity"))
+    f = frames.join(sigma, "track_id").select("track_id", "i", "v", "segment", F.col("sigma").cast("double").alias("sigma"))
+    kind = dict(f.dtypes)["segment"]
+
+    def work(key, left, right):
+        import pandas as pd
+
+        width = float(left["sigma"].iloc[0])
+        d = distances(matrix(left["v"]), matrix(right["w"]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            e = np.exp(-(d * d) / (width * width))
+        apart = left["i"].to_numpy()[:, None] != right["j"].to_numpy()[None]
+        known = apart & ~np.isnan(e)
+        x, ka, a = members(left["segment"])
+        y, kb, b = members(right["segment2"])
+        total, n, all_ = x.T @ np.where(known, e, 0) @ y, x.T @ known @ y, x.T @ apart @ y
+        p, q = np.nonzero(all_ > 0)
+        return pd.DataFrame({"track_id": key[0], "a": ka[p], "b": kb[q], "s": total[p, q], "n": n[p, q].astype(np.int64)})
+
+    parts = in_block_pairs(f, ["segment"], ["sigma"], work, f"a {kind}, b {kind}, s double, n long")
+    return parts.groupBy("track_id", "a", "b").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("affinity"))
+
+
+def matrix(column) -> np.ndarray:
+    """A column of vectors as rows; what is null counts as no number."""
+    width = max((len(v) for v in column if v is not None), default=0)
+    out = np.full((len(column), width), np.nan)
+    for k, v in enumerate(column):
+        if v is not None:
+            out[k, : len(v)] = v
+    return out
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows by one product; those of pairs so near that the product's rounding would show are taken from differences."""
+    size = (x * x).sum(1)[:, None] + (y * y).sum(1)[None]
+    d2 = size - 2 * (x @ y.T)
+    for i, j in pieces(*np.nonzero(d2 < 1e-4 * size)):
+        d2[i, j] = ((x[i] - y[j]) ** 2).sum(1)
+    return np.sqrt(np.maximum(d2, 0))
+
+
+def pieces(i: np.ndarray, j: np.ndarray, size: int = 1 << 15):
+    return ((i[a : a + size], j[a : a + size]) for a in range(0, len(i), size))
+
+
+def members(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows x kinds with 1 where a row is of a kind, the kinds, each row's kind by number)."""
+    import pandas as pd
+
+    codes, kinds = pd.factorize(column, use_na_sentinel=False)
+    return np.eye(len(kinds))[codes], np.asarray(kinds), codes
+
+
+def in_block_pairs(frames: DataFrame, both: list[str], left_only: list[str], work, schema: str, block: int = 1024) -> DataFrame:
+    """work(key, left, right) on every pair of blocks of a track's frames (track_id, i, v) and other columns.
+
+    left has i, v and all columns; right has j, w and the columns of both with a 2 behind their names. A track of n frames sends each to
+    n / block pairs on either side, and what work returns is all that leaves a pair; pairs of frames are never rows.
+    """
+    o = track().orderBy("i")
+    v = frames.withColumn("_b", F.floor((F.row_number().over(o) - 1) / block)).withColumn("_nb", F.ceil(F.count("*").over(track()) / block))
+    v = v.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
+    left = v.select("track_id", "_b", "_o", "i", "v", *both, *left_only)
+    right = v.select(F.col("track_id").alias("_t"), F.col("_o").alias("_qb"), F.col("_b").alias("_mb"), F.col("i").alias("j"), F.col("v").alias("w"), *[F.col(c).alias(f"{c}2") for c in both])
+    kind = dict(frames.dtypes)["track_id"]
+    return left.groupBy("track_id", "_b", "_o").cogroup(right.groupBy("_t", "_qb", "_mb")).applyInPandas(work, f"track_id {kind}, {schema}")
 
 
 # --- recurrence graphs: edges (track_id, src, dst) -----------------------------------------------------------------------------------------
@@ -303,10 +364,23 @@ def silhouette_of(x: np.ndarray, labels: np.ndarray, singleton: float = 1.0) ->
 
 
 def silhouette(f: DataFrame, label: str = "label") -> DataFrame:
-    """(track_id, silhouette) of frames (track_id, i, v, label) as aggregates over the pairs of a track; singletons score 1, null with one label."""
-    a = f.select("track_id", "i", "v", F.col(label).alias("a"))
-    b = f.select("track_id", F.col("i").alias("j"), F.col("v").alias("w"), F.col(label).alias("b"))
-    means = a.join(b, "track_id").groupBy("track_id", "i", "a", "b").agg(F.sum(distance("v", "w")).alias("s"), F.count("*").alias("n"))
+    """(track_id, silhouette) of frames (track_id, i, v, label), pairs of frames taken in blocks; singletons score 1, null with one label."""
+    kind = dict(f.dtypes)[label]
+
+    def work(key, left, right):
+        import pandas as pd
+
+        d = distances(matrix(left["v"]), matrix(right["w"]))
+        known = ~np.isnan(d)
+        y, kinds, _ = members(right["b2"])
+        total, n = np.where(known, d, 0) @ y, known @ y
+        return pd.DataFrame({
+            "track_id": key[0], "i": np.repeat(left["i"].to_numpy(), len(kinds)), "a": np.repeat(left["b"].to_numpy(), len(kinds)), "b": np.tile(kinds, len(left)),
+            "s": np.where(n > 0, total, np.nan).ravel(), "n": np.tile(y.sum(0).astype(np.int64), len(left)),
+        })
+
+    parts = in_block_pairs(f.select("track_id", "i", "v", F.col(label).alias("b")), ["b"], [], work, f"i long, a {kind}, b {kind}, s double, n long")
+    means = parts.groupBy("track_id", "i", "a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = F.col("a") == F.col("b")
     g = means.groupBy("track_id", "i").agg(
         F.max(F.when(own, F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).otherwise(0.0))).alias("x"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("y"),
