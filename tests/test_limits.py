@@ -109,3 +109,13 @@ def test_silhouette_over_blocks(spark):
     out = structure.silhouette(vectors(spark, v, label))
     assert "Join" not in plan_of(out)
     assert np.isclose(out.first()["silhouette"], structure.silhouette_of(v, label))
+
+
+def test_segment_affinity_over_blocks(spark):
+    v = rng.normal(size=(1100, 3))
+    sigma = spark.createDataFrame([(1, 2.0)], "track_id long, sigma double")
+    out = structure.segment_affinity(vectors(spark, v).withColumnRenamed("label", "segment"), sigma)
+    assert "CoGroup" in plan_of(out)
+    got = {(r["a"], r["b"]): r["affinity"] for r in out.collect()}
+    e = np.exp(-((v[:, None] - v[None]) ** 2).sum(2) / 4)
+    assert len(got) == 69 * 69 and np.isclose(got[68, 3], e[1088:1100, 48:64].mean()) and np.isclose(got[2, 2], (e[32:48, 32:48].sum() - 16) / 240)
