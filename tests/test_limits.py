@@ -119,3 +119,40 @@ def test_segment_affinity_over_blocks(spark):
     got = {(r["a"], r["b"]): r["affinity"] for r in out.collect()}
     e = np.exp(-((v[:, None] - v[None]) ** 2).sum(2) / 4)
     assert len(got) == 69 * 69 and np.isclose(got[68, 3], e[1088:1100, 48:64].mean()) and np.isclose(got[2, 2], (e[32:48, 32:48].sum() - 16) / 240)
+
+
+def laplacian_of_parts(n, parts):
+    """Rings with chords, unconnected with each other."""
+    m = np.zeros((n, n))
+    i = np.arange(n)
+    m[i, (i + parts) % n] = 1
+    j = i % parts + parts * rng.integers(0, n // parts, n)
+    m[i, j] = np.where(i != j, 0.5, 0)
+    m = np.maximum(m, m.T)
+    d = np.sqrt(m.sum(1))
+    return np.eye(n) - m / d[:, None] / d[None]
+
+
+@pytest.mark.parametrize("parts", [1, 12])
+def test_lowest_values_of_large_laplacians(parts):
+    m = laplacian_of_parts(1320, parts)
+    src, dst = np.nonzero(m)
+    values, vectors = structure.lowest(1320, src, dst, m[src, dst])
+    assert vectors.shape == (1320, structure.PAIRS) and np.allclose(values, np.linalg.eigvalsh(m)[: structure.PAIRS], atol=1e-9)
+    assert np.abs(m @ vectors - vectors * values).max() < 1e-7 and np.allclose(vectors.T @ vectors, np.eye(structure.PAIRS))
+
+
+def test_clusters_take_no_cube():
+    import tracemalloc
+
+    x = rng.normal(size=(1500, 32))
+    label = rng.integers(0, 8, 1500)
+    tracemalloc.start()
+    got = structure.silhouette_of(x, label)
+    structure.kmeans(x, 32, rounds=3, starts=1)
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = np.sqrt(((x[:300, None] - x[None, :300]) ** 2).sum(2))
+    few = label[:300]
+    a, b = zip(*[(d[i, few == few[i]].sum() / ((few == few[i]).sum() - 1), min(d[i, few == k].mean() for k in range(8) if k != few[i])) for i in range(300)], strict=True)
+    assert top < 60e6 and math.isfinite(got) and np.isclose(structure.silhouette_of(x[:300], few), np.mean((np.array(b) - a) / np.maximum(a, b)))

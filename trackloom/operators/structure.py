@@ -302,11 +302,78 @@ def diagonal_median(edges: DataFrame, frames: DataFrame, width: int) -> DataFram
 # --- clustering ------------------------------------------------------------------------------------------------------------------------------
 
 
+def signed(vectors: np.ndarray) -> np.ndarray:
+    """Vectors in columns, the greatest entry of each positive."""
+    top = np.abs(vectors).argmax(0)
+    return vectors * np.where(vectors[top, np.arange(vectors.shape[1])] < 0, -1, 1)
+
+
 def eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues of a symmetric matrix in rising order and its vectors in columns; a vector's greatest entry is positive."""
     values, vectors = np.linalg.eigh(matrix)
-    top = np.abs(vectors).argmax(0)
-    return values, vectors * np.where(vectors[top, np.arange(vectors.shape[1])] < 0, -1, 1)
+    return values, signed(vectors)
+
+
+DENSE = 1200
+PAIRS = 66
+
+
+def lowest(n: int, src: np.ndarray, dst: np.ndarray, value: np.ndarray, most: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """eigen() of a Laplacian's cells, of large ones the ``most`` lowest values only: more than any strategy reads.
+
+    Matrices of up to DENSE rows are solved whole, larger ones by block Lanczos steps on the sparse cells with thick restarts. Residuals go below 1e-8,
+    and then a random block must find nothing new, as equal values can hide from a Krylov space. What doesn't settle is solved whole.
+    """
+    if n > max(DENSE, 8 * most) and (found := lanczos(n, src, dst, value, most, basis=max(320, 3 * most))) is not None:
+        return found
+    m = np.zeros((n, n))
+    m[src, dst] = value
+    m += m.T.copy()
+    m /= 2
+    return eigen(m)
+
+
+def lanczos(n: int, src: np.ndarray, dst: np.ndarray, value: np.ndarray, most: int, width: int = 8, basis: int = 320, restarts: int = 60, tolerance: float = 1e-8):
+    s, d, w = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([value, value]) / 2
+    order = np.argsort(s, kind="stable")
+    s, d, w = s[order], d[order], w[order]
+    at = np.flatnonzero(np.diff(s, prepend=-1))
+    rows = s[at]
+
+    def times(x):
+        """2 x - L x: the lowest values of L come first. Column by column, so that memory is that of the cells."""
+        out = 2 * x
+        for k in range(x.shape[1]):
+            out[rows, k] -= np.add.reduceat(w * x[d, k], at)
+        return out
+
+    def outside(x, q):
+        for _ in range(2):
+            x = x - q @ (q.T @ x)
+        return np.linalg.qr(x)[0]
+
+    draw = np.random.default_rng(0)
+    q = outside(draw.normal(size=(n, width)), np.zeros((n, 0)))
+    aq, settled = times(q), None
+    for _ in range(restarts):
+        while q.shape[1] < basis:
+            new = outside(aq[:, -width:], q)
+            new = outside(new, q)
+            q, aq = np.concatenate([q, new], 1), np.concatenate([aq, times(new)], 1)
+        t = q.T @ aq
+        theta, y = np.linalg.eigh((t + t.T) / 2)
+        y = y[:, ::-1][:, : most + 60]
+        following = outside(aq[:, -width:], q)
+        q, aq, theta = q @ y, aq @ y, theta[::-1][: most + 60]
+        if np.linalg.norm(aq[:, :most] - q[:, :most] * theta[:most], axis=0).max() < tolerance:
+            if settled is not None and np.abs(settled - theta[:most]).max() < tolerance:
+                return 2 - theta[:most], signed(q[:, :most])
+            settled, following = theta[:most].copy(), draw.normal(size=(n, width))
+        else:
+            settled = None
+        new = outside(outside(following, q), q)
+        q, aq = np.concatenate([q, new], 1), np.concatenate([aq, times(new)], 1)
+    return None
 
 
 def embedding(vectors: np.ndarray, k: int) -> np.ndarray:
@@ -322,18 +389,29 @@ def smooth_vectors(vectors: np.ndarray, width: int = 9) -> np.ndarray:
     return np.stack([np.sort(vectors[max(0, i - half) : i + half + 1], 0)[len(vectors[max(0, i - half) : i + half + 1]) // 2] for i in range(len(vectors))])
 
 
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows by one product; what is within its rounding counts as 0."""
+    size = (x * x).sum(1)[:, None] + (y * y).sum(1)[None]
+    d = size - 2 * (x @ y.T)
+    return np.where(d > 1e-13 * size, d, 0)
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 300, starts: int = 10, seed: int = 0) -> np.ndarray:
     """Labels of the best of several seeded starts; centres are first drawn by their squared distance. Labels count in order of first appearance."""
     draw, best, out = np.random.default_rng(seed), np.inf, np.zeros(len(x), int)
     for _ in range(starts):
         centres = x[[draw.integers(len(x))]]
+        near = squares(x, centres)[:, 0]
         while len(centres) < min(k, len(x)):
-            d = ((x[:, None] - centres[None]) ** 2).sum(2).min(1)
-            centres = np.concatenate([centres, x[[draw.choice(len(x), p=d / d.sum()) if d.sum() > 0 else draw.integers(len(x))]]])
+            total = near.sum()
+            centres = np.concatenate([centres, x[[draw.choice(len(x), p=near / total) if total > 0 else draw.integers(len(x))]]])
+            near = np.minimum(near, squares(x, centres[-1:])[:, 0])
         for _ in range(rounds):
-            d = ((x[:, None] - centres[None]) ** 2).sum(2)
+            d = squares(x, centres)
             label = d.argmin(1)
-            new = np.stack([x[label == j].mean(0) if (label == j).any() else centres[j] for j in range(len(centres))])
+            size = np.bincount(label, minlength=len(centres))[:, None]
+            sums = np.stack([np.bincount(label, column, len(centres)) for column in x.T], 1)
+            new = np.where(size > 0, sums / np.maximum(size, 1), centres)
             if np.allclose(new, centres):
                 break
             centres = new
@@ -349,10 +427,10 @@ def silhouette_of(x: np.ndarray, labels: np.ndarray, singleton: float = 1.0) ->
     kinds = np.unique(labels)
     if len(kinds) < 2:
         return 0.0
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
-    sums = np.stack([d[:, labels == k].sum(1) for k in kinds], 1)
-    size = np.array([(labels == k).sum() for k in kinds])
     own = np.searchsorted(kinds, labels)
+    member = np.eye(len(kinds))[own]
+    sums = np.concatenate([np.sqrt(squares(x[a : a + 512], x)) @ member for a in range(0, len(x), 512)])
+    size = member.sum(0)
     rows = np.arange(len(x))
     a = np.where(size[own] > 1, sums[rows, own] / np.maximum(size[own] - 1, 1), 0)
     means = sums / size
@@ -470,7 +548,7 @@ def clustered(values: np.ndarray, vectors: np.ndarray, strategy: str, k: int | N
 def spectral_clusters(affinity: DataFrame, frames: DataFrame, strategy: str = "eigengap", k: int | None = None, smooth: int | None = None) -> DataFrame:
     """(track_id, i, label, k) of affinity edges: eigenvectors of the Laplacian, automatic number of clusters, k-means.
 
-    A dense kernel of one track: n^2 doubles for n frames.
+    A kernel of one track: its edges and 320 vectors as long as the track; n^2 doubles only where it must be solved whole.
     """
     cells = laplacian(affinity, frames)
     kind = dict(frames.dtypes)["track_id"]
@@ -479,9 +557,7 @@ def spectral_clusters(affinity: DataFrame, frames: DataFrame, strategy: str = "e
         import pandas as pd
 
         n = int(pdf["src"].max()) + 1
-        m = np.zeros((n, n))
-        m[pdf["src"].to_numpy(), pdf["dst"].to_numpy()] = pdf["value"].to_numpy()
-        values, vectors = eigen((m + m.T) / 2)
+        values, vectors = lowest(n, *(pdf[c].to_numpy() for c in ("src", "dst", "value")), max(PAIRS, k or 0))
         if smooth:
             vectors = smooth_vectors(vectors, smooth)
         found, labels, _ = clustered(values, vectors, strategy, k)
@@ -499,9 +575,7 @@ def cluster_scores(affinity: DataFrame, frames: DataFrame, strategy: str = "bala
         import pandas as pd
 
         n = int(pdf["src"].max()) + 1
-        m = np.zeros((n, n))
-        m[pdf["src"].to_numpy(), pdf["dst"].to_numpy()] = pdf["value"].to_numpy()
-        log = clustered(*eigen((m + m.T) / 2), strategy)[2]
+        log = clustered(*lowest(n, *(pdf[c].to_numpy() for c in ("src", "dst", "value"))), strategy)[2]
         return pd.DataFrame({"track_id": key[0], "k": [j for j, _ in log], "score": [s for _, s in log]})
 
     return cells.groupBy("track_id").applyInPandas(work, f"track_id {kind}, k long, score double")
