@@ -156,3 +156,8 @@ def test_clusters_take_no_cube():
     few = label[:300]
     a, b = zip(*[(d[i, few == few[i]].sum() / ((few == few[i]).sum() - 1), min(d[i, few == k].mean() for k in range(8) if k != few[i])) for i in range(300)], strict=True)
     assert top < 60e6 and math.isfinite(got) and np.isclose(structure.silhouette_of(x[:300], few), np.mean((np.array(b) - a) / np.maximum(a, b)))
+
+
+def test_tracks_of_a_small_table_are_dealt_out(spark):
+    cells = spark.createDataFrame([(k, 0, 1, 1.0) for k in range(8)], "track_id long, src long, dst long, value double")
+    assert structure.spread(cells).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -545,12 +545,17 @@ def clustered(values: np.ndarray, vectors: np.ndarray, strategy: str, k: int | N
     return k_best, labels, log
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Tracks dealt to all shuffle partitions: a count that is given isn't merged, and a small table can be much work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "track_id")
+
+
 def spectral_clusters(affinity: DataFrame, frames: DataFrame, strategy: str = "eigengap", k: int | None = None, smooth: int | None = None) -> DataFrame:
     """(track_id, i, label, k) of affinity edges: eigenvectors of the Laplacian, automatic number of clusters, k-means.
 
     A kernel of one track: its edges and 320 vectors as long as the track; n^2 doubles only where it must be solved whole.
     """
-    cells = laplacian(affinity, frames)
+    cells = spread(laplacian(affinity, frames))
     kind = dict(frames.dtypes)["track_id"]
 
     def work(key, pdf):
@@ -568,7 +573,7 @@ def spectral_clusters(affinity: DataFrame, frames: DataFrame, strategy: str = "e
 
 def cluster_scores(affinity: DataFrame, frames: DataFrame, strategy: str = "balanced") -> DataFrame:
     """(track_id, k, score) of every number of clusters that the strategy tries."""
-    cells = laplacian(affinity, frames)
+    cells = spread(laplacian(affinity, frames))
     kind = dict(frames.dtypes)["track_id"]
 
     def work(key, pdf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import decode, graph, jumps, pooling, sequence, structure, walks
 from trackloom.plans.queries import BEATS, KNN, RUNS, TRACKS, beats, r6, sides, tracks
+from trackloom.sources.scratch import kept
 
 LONG = TRACKS + ", f AS (SELECT track_id, i, k - 1 AS k, v[k] AS x FROM e, range(1, 65) q(k))"
 
@@ -133,11 +134,13 @@ beats("over_maximum", f"WITH {BEATS} SELECT track_id, idx, round(x / max(x) OVER
 sides("near_downbeats", "WITH " + BEATS + ", d AS (SELECT DISTINCT track_id, t FROM b WHERE label = 'click'), a AS (SELECT track_id, t FROM b WHERE label = 'view') SELECT d.track_id, d.t, EXISTS (SELECT 1 FROM a WHERE a.track_id = d.track_id AND abs(a.t - d.t) < 7200) AS downbeat FROM d", lambda d, a: pooling.is_near(d.select("track_id", "t"), a, 7200))
 
 
-def clusters(f: DataFrame) -> DataFrame:
-    rep, path, mu = affinities(f)
-    return structure.spectral_clusters(structure.combined_affinity(path, rep, mu), f, smooth=9)
+def affinity(f: DataFrame) -> DataFrame:
+    """The combined affinity, each part computed once."""
+    f = kept(f, "frames")
+    rep, path = kept(structure.repetition_affinity(kept(graph.recurrence(f, 8), "recurrence"), f), "repetition"), kept(structure.path_affinity(f), "path")
+    return kept(structure.combined_affinity(path, rep, structure.balance(path, rep)), "affinity")
 
 
-tracks("spectral_cluster", None, clusters)
-tracks("auto_k_score", None, lambda f: (lambda r, p, m: structure.cluster_scores(structure.combined_affinity(p, r, m), f, "balanced"))(*affinities(f)))
+tracks("spectral_cluster", None, lambda f: structure.spectral_clusters(affinity(f), f, smooth=9))
+tracks("auto_k_score", None, lambda f: structure.cluster_scores(affinity(f), f, "balanced"))
 tracks("segment_novelty", None, lambda f: structure.segment_by_novelty(f, frame_bars(f), 16, 2.0, 4, 0.5, 4))
