@@ -68,6 +68,13 @@ def test_downbeats_beyond_one(spark):
     assert (4.0, 1) in [(r["t"], r["position"]) for r in got]
 
 
+def test_downbeats_with_infinite_values(spark):
+    rows = [(k, i, 0.8 if i % 5 == 0 else 0.05, 0.7 if i % 20 == 0 else 0.01) for k in (1, 2, 3) for i in range(100)]
+    rows = [(k, i, *((math.inf, math.inf) if k == 1 and i in (41, 42) else (-math.inf, 0.1) if k == 2 and i in (41, 42) else (x, y))) for k, i, x, y in rows]
+    got = tracking.decode_downbeats(beats_and_more(spark, "track_id long, idx long, beat double, downbeat double", rows), 10.0, (3, 4), 60.0, 200.0).collect()
+    assert 1 not in {r["track_id"] for r in got} and len([r for r in got if r["track_id"] == 3]) == 20
+
+
 def by_sql(spark, folder, name, values):
     """Rows of a query and of its SQL on events with these values, eight to a track."""
     rows = [(i, i, i // 8, "click", float(v)) for i, v in enumerate(values)]
