@@ -77,6 +77,40 @@ def test_quality_held_out(spark):
     assert quality.keep_good(docs, none).count() == len(ODD) + 1 and quality.keep_good(docs, none).columns == docs.columns
 
 
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """Labels beyond any sample move the model, and it is that of all pairs of each block."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["abc", "Abc", "12", "!", "x."]) for _ in range(rng.randint(1, 30))) + ("!?" * rng.randint(0, 3) if i % 3 == 0 else "") for i in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(1500)], "doc_id long, quality int")
+    m = quality.fit(docs, labels)
+    x = np.array([quality.features(t.encode()) for t in texts])
+    y = np.arange(1500) % 3 != 0
+    assert np.allclose(m.mean, x.mean(0)) and np.allclose(m.scale, np.where(x.std(0) < 1e-9, 1, x.std(0)))
+    s = np.clip((x - m.mean) / m.scale, -6, 6) @ m.weights
+    assert np.isclose(m.cut, np.quantile(s, 1 / 3)) and np.isclose(m.spread, s.std())
+    monkeypatch.setattr(quality, "MOST_SORTED", 5)
+    assert np.isclose(quality.fit(docs, labels).cut, m.cut, rtol=0, atol=1e-12)
+    monkeypatch.setattr(quality, "BLOCK", 5000)
+    whole = quality.fit(docs, labels)
+    z = np.clip((x - whole.mean) / whole.scale, -6, 6)
+    good, bad = z[y] @ whole.weights, z[~y] @ whole.weights
+    p = 1 / (1 + np.exp(good[:, None] - bad[None]))
+    slope = (p.sum(0) @ z[~y] - p.sum(1) @ z[y]) / p.size + 1e-3 * whole.weights
+    assert np.abs(slope).max() < 1e-6
+
+
+def test_quality_of_rare_labels(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 16)
+    docs = spark.createDataFrame([(i, "!!! ??? " * 3 if i < 3 else f"some words {i} and more") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 3)) for i in range(400)], "doc_id long, quality int")
+    rows = quality.described(quality.training_rows(docs, labels, None, id_col="doc_id", text_col="text", label_col="quality"))
+    blocks = quality.in_blocks(rows, 400, 0, 3).collect()
+    assert all(b["y"].count(0) == 3 for b in blocks) and sum(sum(b["own"]) for b in blocks) == 400
+    got = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, labels)).collect()}
+    assert max(got[i] for i in range(3)) < min(got[i] for i in range(3, 400))
+
+
 def test_urls_against_brute_force(spark):
     urls = [None, "", "no scheme", "HTTP://Sub.Example.NET/en/x?q#f", "http://example.net", "http://a.net/", "x://b.example.com/de/1", "http://org/fr/", "http://cheappills.example.org/en", "http://news.example.org/en/2#t", "http://notnet/"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
