@@ -66,12 +66,7 @@ def weighted_features(b: DataFrame) -> DataFrame:
 def filtered_recurrence(edges: DataFrame, frames: DataFrame) -> DataFrame:
     """Edges after the diagonal median filter, as wide as each track's densest diagonal asks for."""
     width = structure.diagonal_density(edges, frames).select("track_id", structure.filter_width(F.col("density")).alias("_w"))
-    out = None
-    for w in (7, 11, 17):
-        own = width.where(F.col("_w") == w).select("track_id")
-        part = structure.diagonal_median(edges.join(own, "track_id", "left_semi"), frames.join(own, "track_id", "left_semi"), w)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return structure.diagonal_median(edges, frames.select("track_id").join(width, "track_id"), F.col("_w"))
 
 
 def analyze_spectral(b: DataFrame, strategy: str = "eigengap", k: int | None = None, smooth: int = 8) -> DataFrame:

@@ -270,7 +270,8 @@ def laplacian(affinity: DataFrame, frames: DataFrame) -> DataFrame:
 def diagonal_density(edges: DataFrame, frames: DataFrame, low: int = 10, high: int = 200) -> DataFrame:
     """(track_id, density): the greatest share of a diagonal that has edges, over offsets from low to below the track's length and high; 0 without."""
     n = frames.groupBy("track_id").agg(F.count("*").alias("n"))
-    d = edges.select("track_id", "src", "dst", (F.col("dst") - F.col("src")).alias("d")).distinct().join(n, "track_id").where((F.col("d") >= low) & (F.col("d") < F.least(F.col("n"), F.lit(high))))
+    near = edges.select("track_id", "src", "dst", (F.col("dst") - F.col("src")).alias("d")).where((F.col("d") >= low) & (F.col("d") < high))
+    d = near.distinct().join(n, "track_id").where(F.col("d") < F.col("n"))
     each = d.groupBy("track_id", "d").agg((F.count("*") / (F.first("n") - F.col("d"))).alias("x")).groupBy("track_id").agg(F.max("x").alias("density"))
     return n.join(each, "track_id", "left").select("track_id", F.coalesce("density", F.lit(0.0)).alias("density"))
 
@@ -280,23 +281,41 @@ def filter_width(density: Column) -> Column:
     return F.when(density >= 0.35, 17).when(density >= 0.20, 11).otherwise(7)
 
 
-def diagonal_median(edges: DataFrame, frames: DataFrame, width: int) -> DataFrame:
-    """Edges after an upper-median filter along each diagonal; diagonals of fewer than three cells stay.
+def diagonal_median(edges: DataFrame, frames: DataFrame, width: int | Column) -> DataFrame:
+    """Edges after an upper-median filter along each diagonal; diagonals of fewer than three cells stay. width: a number, or one for each track of frames.
 
     A cell stays or comes up if more than half (of an even window: at least half) of its window has edges. Only cells near an edge can,
-    so each edge is sent to the windows that hold it: width rows for each edge, whatever the size of the matrix.
+    whatever the size of the matrix. Diagonals are dealt to workers in bands of 512.
     """
-    half = width // 2
-    n = frames.groupBy("track_id").agg(F.count("*").alias("n"))
-    e = edges.select("track_id", "src", "dst").distinct().withColumn("d", F.col("dst") - F.col("src"))
-    hits = e.withColumn("src", F.explode(F.sequence(F.col("src") - half, F.col("src") + half))).groupBy("track_id", "d", "src").agg(F.count("*").alias("c")).join(n, "track_id")
-    size = F.col("n") - F.abs("d")
-    place = F.col("src") - F.greatest(-F.col("d"), F.lit(0))
-    inside = hits.where((place >= 0) & (place < size) & (size >= 3))
-    seen = F.least(place + half, size - 1) - F.greatest(place - half, F.lit(0)) + 1
-    kept = inside.where(F.col("c") >= seen - F.floor(seen / 2)).select("track_id", "src", (F.col("src") + F.col("d")).alias("dst"))
-    short = e.join(n, "track_id").where(size < 3).select("track_id", "src", "dst")
-    return kept.unionByName(short)
+    n = frames.groupBy("track_id").agg(F.count("*").alias("_n"), F.first(width if isinstance(width, Column) else F.lit(width)).cast("long").alias("_w"))
+    e = edges.select("track_id", "src", "dst").join(n, "track_id").withColumn("_d", F.floor((F.col("dst") - F.col("src")) / 512))
+    kind = dict(edges.dtypes)["track_id"]
+
+    def work(key, pdf):
+        import pandas as pd
+
+        n, half = int(pdf["_n"].iloc[0]), int(pdf["_w"].iloc[0]) // 2
+        src, dst = diagonal_kept(pdf["src"].to_numpy(), pdf["dst"].to_numpy(), n, half)
+        return pd.DataFrame({"track_id": key[0], "src": src, "dst": dst})
+
+    return e.groupBy("track_id", "_d").applyInPandas(work, f"track_id {kind}, src long, dst long")
+
+
+def diagonal_kept(src: np.ndarray, dst: np.ndarray, n: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that diagonal_median leaves or adds, of the cells of some whole diagonals of n frames."""
+    d = dst - src
+    least, stride = d.min(), n + 2 * half + 2
+    cells = np.unique((d - least) * stride + np.minimum(src, dst) + half)
+    near = np.unique((cells[:, None] + np.arange(-half, half + 1)).ravel())
+    count = np.searchsorted(cells, near + half, "right") - np.searchsorted(cells, near - half)
+    of, place = near // stride + least, near % stride - half
+    size = n - np.abs(of)
+    seen = np.minimum(place + half, size - 1) - np.maximum(place - half, 0) + 1
+    inside = (place >= 0) & (place < size) & (size >= 3) & (count >= seen - seen // 2)
+    short = (size < 3) & np.isin(near, cells)
+    kept = inside | short
+    row = place[kept] + np.maximum(-of[kept], 0)
+    return row, row + of[kept]
 
 
 # --- clustering ------------------------------------------------------------------------------------------------------------------------------
