@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from trackloom.llm import decontamination, jaccard_join, mixing, quality, token_tables
 from trackloom.llm._common import materialize, table
 
+#: Word caches of a worker that tokenizes. The stages before have let the executors grow, so less is left than in a job that only tokenizes.
+CACHE_BYTES = 48 << 20
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise ranking scores under its cut go; it learns from the labels of the documents it is given."""
@@ -36,7 +39,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token ids in sorted tables, and for each its place, length and checksum read back from them."""
-    return token_tables.written(docs)
+    return token_tables.written(docs, cache_bytes=CACHE_BYTES)
 
 
 STAGES = [

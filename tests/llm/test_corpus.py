@@ -187,6 +187,24 @@ def test_token_tables_round_trip(spark, tmp_path):
     assert token_tables.manifest(f"file://{tmp_path}/t") == shards
 
 
+def test_token_caches_are_as_small_as_asked_for(spark, monkeypatch):
+    import corpus_pipeline
+
+    e = token_tables.WordEncoder(token_tables.default_tokenizer(), 1 << 20)
+    texts = [" ".join(f"w{k}x{i}" for k in range(200)).encode() for i in range(60)]
+    whole = token_tables.WordEncoder(token_tables.default_tokenizer()).encode(texts)
+    got = []
+    for t in texts:
+        got += e.encode([t])
+        assert e.words.size + e.pieces.size <= 1 << 19
+    assert got == whole
+    asked = {}
+    monkeypatch.setattr(token_tables, "write", lambda docs, path, **options: asked.update(options) or [])
+    monkeypatch.setattr(token_tables, "read", lambda spark, shards, **_: docs_of(spark, ["a"]).withColumnRenamed("doc_id", "id"))
+    corpus_pipeline.token_output(spark, docs_of(spark, ["a"]), "")
+    assert asked["cache_bytes"] < token_tables.CACHE_BYTES
+
+
 def test_secrets_against_regexes(spark):
     texts = [*ODD, "é PassWord = 'abcdef1' secret=token: abcdefgh", "token=abc", "AKIA" + "Z9" * 20, "f" * 30 + "\n" + "a" * 23, "key ghp_" + "a1B2" * 9]
     assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)

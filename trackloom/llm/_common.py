@@ -112,7 +112,7 @@ BATCH_BYTES = "4m"
 
 
 def map_arrow(df: DataFrame, work, schema, cache=None) -> DataFrame:
-    """mapInArrow in batches of bounded size, in a worker that keeps no cache but that of this key."""
+    """mapInArrow in batches of bounded size, in a worker that keeps no cache but that of this key; without one it gives back what a task has freed."""
     bound_batches(df.sparkSession)
 
     def run(batches):
@@ -122,6 +122,8 @@ def map_arrow(df: DataFrame, work, schema, cache=None) -> DataFrame:
             _common._SLOT = (None, None)
             _common.give_back()
         yield from work(batches)
+        if cache is None:
+            _common.give_back()
 
     return df.mapInArrow(run, schema)
 

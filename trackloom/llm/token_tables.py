@@ -42,6 +42,8 @@ MAGIC = b"TLSST001"
 FOOTER = struct.Struct("<QQQQQQIIII8s")
 INDEX = struct.Struct("<QIIQ")
 BLOCK_BYTES = 64 << 10
+#: What a worker's caches of words may hold; results are the same with any.
+CACHE_BYTES = 288 << 20
 BITS_PER_KEY, HASHES = 10, 7
 
 
@@ -87,9 +89,9 @@ class WordEncoder:
 
     #: Words counted before the most frequent ones get a table of their own.
     COUNTED = 250_000
-    MOST_HOT, WORD_BYTES, PIECE_BYTES = 30_000, 176 << 20, 112 << 20
+    MOST_HOT = 30_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -98,7 +100,7 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
         self.hot: dict[bytes, bytes] = {}
-        self.words, self.pieces = Recent(self.WORD_BYTES), Recent(self.PIECE_BYTES)
+        self.words, self.pieces = Recent(cache_bytes * 11 // 18), Recent(cache_bytes * 7 // 18)
         self.marks: dict[bytes, bytes] = {b"": b""}
         self.tally: Counter | None = Counter()
         self.plain = splits_words(self.tokenizer.to_str())
@@ -198,9 +200,9 @@ def splits_words(settings: str) -> bool:
     return pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and set(pattern[: -len(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")]) <= set("'|abcdefghijklmnopqrstuvwxyz") and s["model"]["type"] == "BPE" and plain_tokens
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cache_bytes: int = CACHE_BYTES) -> WordEncoder:
     """Loaded once per Python worker, while it encodes."""
-    return worker_cache(("encoder", path), lambda: WordEncoder(path))
+    return worker_cache(("encoder", path, cache_bytes), lambda: WordEncoder(path, cache_bytes))
 
 
 def key_of(identifier: int | str | None) -> bytes:
@@ -363,7 +365,7 @@ class Shard(NamedTuple):
     high: bytes
 
 
-def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[Shard]:
+def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> list[Shard]:
     """Writes docs as shards under path and returns the manifest, a row for each shard. The texts move once; their ids never return to Spark."""
     name = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
@@ -376,13 +378,13 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: i
         import pyarrow.fs as fs
         from pyspark import TaskContext
 
-        e, number = encoder(name), TaskContext.get().partitionId()
+        e, number = encoder(name, cache_bytes), TaskContext.get().partitionId()
         end = struct.pack("<H" if e.width == 2 else "<I", end_id)
         system, folder = fs.FileSystem.from_uri(path)
         writer = stream = part = None
         for batch in batches:
             # Asked for again, so that the cache counts as used.
-            e = encoder(name)
+            e = encoder(name, cache_bytes)
             ids, texts = batch.column(0).to_pylist(), texts_of(batch)
             for a, b in chunks([len(t or b"") for t in texts], 1 << 20):
                 for key, value in zip(ids[a:b], e.encode(texts[a:b]), strict=True):
@@ -399,7 +401,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: i
             row = Shard(number, f"{path}/shard-{number:06d}.sst", writer.docs, writer.ids, writer.low, writer.high)
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row[:4]] + [pa.array([x], pa.binary()) for x in row[4:]], names=list(Shard._fields))
 
-    found = map_arrow(placed, work, "number long, path string, docs long, ids long, low binary, high binary", ("encoder", name)).collect()
+    found = map_arrow(placed, work, "number long, path string, docs long, ids long, low binary, high binary", ("encoder", name, cache_bytes)).collect()
     shards = sorted(Shard(r.number, r.path, r.docs, r.ids, bytes(r.low), bytes(r.high)) for r in found)
     finish(path, shards)
     return shards
