@@ -177,3 +177,42 @@ def test_clusters_take_no_cube():
 def test_tracks_of_a_small_table_are_dealt_out(spark):
     cells = spark.createDataFrame([(k, 0, 1, 1.0) for k in range(8)], "track_id long, src long, dst long, value double")
     assert structure.spread(cells).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def laplacian_of(n, edges):
+    """Cells of the normalised Laplacian of an even graph."""
+    src, dst = (np.concatenate([edges[:, k], edges[:, 1 - k]]) for k in (0, 1))
+    degree = np.bincount(src, minlength=n)
+    return np.concatenate([src, np.arange(n)]), np.concatenate([dst, np.arange(n)]), np.concatenate([-1 / np.sqrt(degree[src] * degree[dst]), np.ones(n)])
+
+
+def test_lowest_values_of_long_paths(monkeypatch):
+    """Values that crowd at 0 are found without solving the whole matrix."""
+    monkeypatch.setattr(structure, "eigen", lambda m: pytest.fail("solved whole"))
+    n = 5000
+    path = np.stack([np.arange(n - 1), np.arange(1, n)], 1)
+    src, dst, value = laplacian_of(n, path)
+    values, vectors = structure.lowest(n, src, dst, value)
+    assert np.allclose(values, 1 - np.cos(np.pi * np.arange(structure.PAIRS) / (n - 1)), rtol=1e-8, atol=1e-13)
+    product = np.stack([np.bincount(src, value * x[dst], n) for x in vectors.T], 1)
+    assert np.linalg.norm(product - vectors * values, axis=0).max() < 1e-8 and np.allclose(vectors.T @ vectors, np.eye(structure.PAIRS))
+
+
+@pytest.mark.parametrize("extra", [0, 300, 900])
+def test_inverse_of_laplacians(extra):
+    n = 1500
+    far = rng.integers(0, n, (extra, 2))
+    edges = np.unique(np.sort(np.concatenate([np.stack([np.arange(n - 1), np.arange(1, n)], 1), far[np.abs(far[:, 0] - far[:, 1]) > 1]]), 1), axis=0)
+    cells = structure.summed(n, *laplacian_of(n, edges))
+    m, x = np.zeros((n, n)), rng.normal(size=(n, 3))
+    m[cells[0], cells[1]] = cells[2]
+    assert np.allclose(structure.inverse(n, *cells)(x), structure.SHIFT * np.linalg.solve(m + structure.SHIFT * np.eye(n), x), atol=1e-9)
+    values = structure.lowest(n, *cells)[0]
+    assert np.allclose(values, np.linalg.eigvalsh(m)[: structure.PAIRS], atol=1e-9)
+
+
+def test_inverse_is_not_taken_of_values_below_zero():
+    n = 1500
+    src, dst, value = structure.summed(n, *laplacian_of(n, np.stack([np.arange(n - 1), np.arange(1, n)], 1)))
+    value = np.where(src == dst, 0.9, value)
+    assert structure.inverse(n, src, dst, value) is None

@@ -335,16 +335,22 @@ def eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 DENSE = 1200
 PAIRS = 66
+CORE, FILL, SHIFT = 3000, 1 << 22, 1e-5
 
 
 def lowest(n: int, src: np.ndarray, dst: np.ndarray, value: np.ndarray, most: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
     """eigen() of a Laplacian's cells, of large ones the ``most`` lowest values only: more than any strategy reads.
 
-    Matrices of up to DENSE rows are solved whole, larger ones by block Lanczos steps on the sparse cells with thick restarts. Residuals go below 1e-8,
-    and then a random block must find nothing new, as equal values can hide from a Krylov space. What doesn't settle is solved whole.
+    Matrices of up to DENSE rows are solved whole, larger ones by block Lanczos steps on the inverse, as a long path's values crowd at 0, or, where
+    that fills up, on the sparse cells. What doesn't settle is solved whole.
     """
-    if n > max(DENSE, 8 * most) and (found := lanczos(n, src, dst, value, most, basis=max(320, 3 * most))) is not None:
-        return found
+    if n > max(DENSE, 8 * most):
+        cells = summed(n, np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([value, value]) / 2)
+        basis = max(320, 3 * most)
+        if (times := inverse(n, *cells)) is not None and (found := lanczos(n, times, most, basis=basis)) is not None:
+            return SHIFT / found[0] - SHIFT, signed(found[1])
+        if (found := lanczos(n, away(n, *cells), most, basis=basis)) is not None:
+            return 2 - found[0], signed(found[1])
     m = np.zeros((n, n))
     m[src, dst] = value
     m += m.T.copy()
@@ -352,20 +358,102 @@ def lowest(n: int, src: np.ndarray, dst: np.ndarray, value: np.ndarray, most: in
     return eigen(m)
 
 
-def lanczos(n: int, src: np.ndarray, dst: np.ndarray, value: np.ndarray, most: int, width: int = 8, basis: int = 320, restarts: int = 60, tolerance: float = 1e-8):
-    s, d, w = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([value, value]) / 2
-    order = np.argsort(s, kind="stable")
-    s, d, w = s[order], d[order], w[order]
-    at = np.flatnonzero(np.diff(s, prepend=-1))
-    rows = s[at]
+def summed(n: int, src: np.ndarray, dst: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells in order, those of one place added up."""
+    key, at = np.unique(src * n + dst, return_inverse=True)
+    return key // n, key % n, np.bincount(at, value, len(key))
+
+
+def away(n: int, src: np.ndarray, dst: np.ndarray, value: np.ndarray):
+    """x -> 2 x - L x: the lowest values of L come first. Column by column, so that memory is that of the cells."""
+    at = np.flatnonzero(np.diff(src, prepend=-1))
+    rows = src[at]
 
     def times(x):
-        """2 x - L x: the lowest values of L come first. Column by column, so that memory is that of the cells."""
         out = 2 * x
         for k in range(x.shape[1]):
-            out[rows, k] -= np.add.reduceat(w * x[d, k], at)
+            out[rows, k] -= np.add.reduceat(value * x[dst, k], at)
         return out
 
+    return times
+
+
+def inverse(n: int, src: np.ndarray, dst: np.ndarray, value: np.ndarray):
+    """x -> SHIFT (L + SHIFT)^-1 x of symmetric cells; None where L has values of -SHIFT or less, or more than CORE rows are left.
+
+    Rows of few cells that don't touch each other are eliminated together, round by round; a path takes log n rounds. Rounds end where cells
+    fill up, and the rows left then are inverted whole.
+    """
+    off = src != dst
+    diagonal = np.bincount(src[~off], value[~off], n) + SHIFT
+    a, b, w = src[off], dst[off], value[off]
+    left, steps, draw = np.ones(n, bool), [], np.random.default_rng(0)
+    while True:
+        rows = np.flatnonzero(left)
+        degree = np.bincount(a, minlength=n)
+        if len(rows) <= 64 or len(a) > len(rows) ** 2 / 8:
+            break
+        rank = degree + draw.permutation(n) / n
+        least = np.full(n, np.inf)
+        np.minimum.at(least, a, rank[b])
+        gone = left & (degree <= max(2 * degree[rows].min(), 2)) & (rank < least)
+        own = gone[a]
+        u, v, c = a[own], b[own], w[own]
+        size = degree[u]
+        if size.sum() > FILL or len(a) > FILL:
+            break
+        pivot = diagonal[gone]
+        if not (pivot > 0).all():
+            return None
+        one = np.repeat(np.arange(len(u)), size)
+        two = np.repeat(np.searchsorted(u, u), size) + np.arange(len(one)) - np.repeat(np.cumsum(size) - size, size)
+        p, q, x = v[one], v[two], -c[one] * c[two] / diagonal[u[one]]
+        steps.append((np.flatnonzero(gone), pivot[:, None], u, v, (c / diagonal[u])[:, None]))
+        same = p == q
+        diagonal += np.bincount(p[same], x[same], n)
+        stay = ~(own | gone[b])
+        a, b, w = summed(n, np.concatenate([a[stay], p[~same]]), np.concatenate([b[stay], q[~same]]), np.concatenate([w[stay], x[~same]]))
+        left &= ~gone
+    if len(rows) > CORE:
+        return None
+    place = np.cumsum(left) - 1
+    core = np.diag(diagonal[rows])
+    core[place[a], place[b]] = w
+    try:
+        np.linalg.cholesky(core)
+    except np.linalg.LinAlgError:
+        return None
+    core = np.linalg.inv(core)
+    core = (core + core.T) / 2
+    plan = []
+    for gone, pivot, u, v, c in steps:
+        order = np.argsort(v, kind="stable")
+        to, begin = np.unique(v[order], return_index=True)
+        of, first = np.unique(u, return_index=True)
+        plan.append((gone, pivot, v, c, of, first, u[order], c[order], to, begin))
+
+    def times(x):
+        x = SHIFT * x
+        for *_, u, c, to, begin in plan:
+            if len(u):
+                x[to] -= np.add.reduceat(c * x[u], begin)
+        x[rows] = core @ x[rows]
+        for gone, pivot, v, c, of, first, *_ in reversed(plan):
+            x[gone] /= pivot
+            if len(v):
+                x[of] -= np.add.reduceat(c * x[v], first)
+        return x
+
+    return times
+
+
+def lanczos(n: int, times, most: int, width: int = 8, basis: int = 320, restarts: int = 60, tolerance: float = 1e-8):
+    """(values, vectors) of the ``most`` greatest values of a symmetric x -> times(x), by block steps with thick restarts; None if they don't settle.
+
+    Residuals go below the tolerance by half the value, which is the tolerance for L itself, and then a random block must find nothing new, as equal
+    values can hide from a Krylov space.
+    """
+
     def outside(x, q):
         for _ in range(2):
             x = x - q @ (q.T @ x)
@@ -384,9 +472,10 @@ def lanczos(n: int, src: np.ndarray, dst: np.ndarray, value: np.ndarray, most: i
         y = y[:, ::-1][:, : most + 60]
         following = outside(aq[:, -width:], q)
         q, aq, theta = q @ y, aq @ y, theta[::-1][: most + 60]
-        if np.linalg.norm(aq[:, :most] - q[:, :most] * theta[:most], axis=0).max() < tolerance:
-            if settled is not None and np.abs(settled - theta[:most]).max() < tolerance:
-                return 2 - theta[:most], signed(q[:, :most])
+        near = tolerance * theta[:most] / 2
+        if (np.linalg.norm(aq[:, :most] - q[:, :most] * theta[:most], axis=0) < near).all():
+            if settled is not None and (np.abs(settled - theta[:most]) < near).all():
+                return theta[:most], q[:, :most]
             settled, following = theta[:most].copy(), draw.normal(size=(n, width))
         else:
             settled = None
