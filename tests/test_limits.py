@@ -179,21 +179,24 @@ def test_tracks_of_a_small_table_are_dealt_out(spark):
     assert structure.spread(cells).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def laplacian_of(n, edges):
-    """Cells of the normalised Laplacian of an even graph."""
+def laplacian_of(n, edges, weight=None):
+    """Cells of the normalised Laplacian of a graph."""
     src, dst = (np.concatenate([edges[:, k], edges[:, 1 - k]]) for k in (0, 1))
-    degree = np.bincount(src, minlength=n)
-    return np.concatenate([src, np.arange(n)]), np.concatenate([dst, np.arange(n)]), np.concatenate([-1 / np.sqrt(degree[src] * degree[dst]), np.ones(n)])
+    w = np.tile(np.ones(len(edges)) if weight is None else weight, 2)
+    degree = np.bincount(src, w, n)
+    return np.concatenate([src, np.arange(n)]), np.concatenate([dst, np.arange(n)]), np.concatenate([-w / np.sqrt(degree[src] * degree[dst]), np.ones(n)])
 
 
 def test_lowest_values_of_long_paths(monkeypatch):
     """Values that crowd at 0 are found without solving the whole matrix."""
     monkeypatch.setattr(structure, "eigen", lambda m: pytest.fail("solved whole"))
-    n = 5000
-    path = np.stack([np.arange(n - 1), np.arange(1, n)], 1)
-    src, dst, value = laplacian_of(n, path)
+    n = 10_000
+    path, half = np.stack([np.arange(n - 1), np.arange(1, n)], 1), np.arange(n // 2)
+    even = structure.lowest(n, *laplacian_of(n, path))[0]
+    assert np.allclose(even, 1 - np.cos(np.pi * np.arange(structure.PAIRS) / (n - 1)), rtol=1e-8, atol=1e-13)
+    edges, weight = np.concatenate([path, np.stack([half, half + n // 2], 1)]), np.concatenate([rng.uniform(0.01, 0.5, n - 1), np.full(n // 2, 0.4)])
+    src, dst, value = laplacian_of(n, edges, weight)
     values, vectors = structure.lowest(n, src, dst, value)
-    assert np.allclose(values, 1 - np.cos(np.pi * np.arange(structure.PAIRS) / (n - 1)), rtol=1e-8, atol=1e-13)
     product = np.stack([np.bincount(src, value * x[dst], n) for x in vectors.T], 1)
     assert np.linalg.norm(product - vectors * values, axis=0).max() < 1e-8 and np.allclose(vectors.T @ vectors, np.eye(structure.PAIRS))
 
