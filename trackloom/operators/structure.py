@@ -661,7 +661,7 @@ def spread(rows: DataFrame) -> DataFrame:
 def spectral_clusters(affinity: DataFrame, frames: DataFrame, strategy: str = "eigengap", k: int | None = None, smooth: int | None = None) -> DataFrame:
     """(track_id, i, label, k) of affinity edges: eigenvectors of the Laplacian, automatic number of clusters, k-means.
 
-    A kernel of one track: its edges and 320 vectors as long as the track; n^2 doubles only where it must be solved whole.
+    A kernel of one track: its edges, their fill, CORE^2 doubles at most and 320 vectors as long as the track; n^2 doubles only where it must be solved whole.
     """
     cells = spread(laplacian(affinity, frames))
     kind = dict(frames.dtypes)["track_id"]
