@@ -219,3 +219,18 @@ def test_inverse_is_not_taken_of_values_below_zero():
     src, dst, value = structure.summed(n, *laplacian_of(n, np.stack([np.arange(n - 1), np.arange(1, n)], 1)))
     value = np.where(src == dst, 0.9, value)
     assert structure.inverse(n, src, dst, value) is None
+
+
+def test_few_tracks_are_dealt_to_one_task_each(spark):
+    from pyspark.sql import functions as F
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        cells = spark.range(3000).select((F.col("id") % 10).alias("track_id"), F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("value"))
+        dealt = structure.spread(cells)
+        tasks = dealt.select("track_id", F.spark_partition_id().alias("task")).distinct().groupBy("task").count().agg(F.max("count"), F.sum("count")).first()
+        plan = dealt.groupBy("track_id").applyInPandas(lambda pdf: pdf[:1], cells.schema)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tuple(tasks) == (1, 10) and plan.count("Exchange") == 1

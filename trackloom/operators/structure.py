@@ -497,28 +497,33 @@ def smooth_vectors(vectors: np.ndarray, width: int = 9) -> np.ndarray:
     return np.stack([np.sort(vectors[max(0, i - half) : i + half + 1], 0)[len(vectors[max(0, i - half) : i + half + 1]) // 2] for i in range(len(vectors))])
 
 
-def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows by one product; what is within its rounding counts as 0."""
-    size = (x * x).sum(1)[:, None] + (y * y).sum(1)[None]
-    d = size - 2 * (x @ y.T)
-    return np.where(d > 1e-13 * size, d, 0)
+def squares(x: np.ndarray, y: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances of all rows by one product; what is within its rounding counts as 0. own: the squares of x, where they are known."""
+    size = ((x * x).sum(1) if own is None else own)[:, None] + (y * y).sum(1)[None]
+    d = x @ y.T
+    d *= -2
+    d += size
+    size *= 1e-13
+    np.copyto(d, 0, where=~(d > size))
+    return d
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 300, starts: int = 10, seed: int = 0) -> np.ndarray:
     """Labels of the best of several seeded starts; centres are first drawn by their squared distance. Labels count in order of first appearance."""
     draw, best, out = np.random.default_rng(seed), np.inf, np.zeros(len(x), int)
+    own, columns = (x * x).sum(1), np.ascontiguousarray(x.T)
     for _ in range(starts):
         centres = x[[draw.integers(len(x))]]
-        near = squares(x, centres)[:, 0]
+        near = squares(x, centres, own)[:, 0]
         while len(centres) < min(k, len(x)):
             total = near.sum()
             centres = np.concatenate([centres, x[[draw.choice(len(x), p=near / total) if total > 0 else draw.integers(len(x))]]])
-            near = np.minimum(near, squares(x, centres[-1:])[:, 0])
+            near = np.minimum(near, squares(x, centres[-1:], own)[:, 0])
         for _ in range(rounds):
-            d = squares(x, centres)
+            d = squares(x, centres, own)
             label = d.argmin(1)
             size = np.bincount(label, minlength=len(centres))[:, None]
-            sums = np.stack([np.bincount(label, column, len(centres)) for column in x.T], 1)
+            sums = np.stack([np.bincount(label, column, len(centres)) for column in columns], 1)
             new = np.where(size > 0, sums / np.maximum(size, 1), centres)
             if np.allclose(new, centres):
                 break
@@ -654,8 +659,8 @@ def clustered(values: np.ndarray, vectors: np.ndarray, strategy: str, k: int | N
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Tracks dealt to all shuffle partitions: a count that is given isn't merged, and a small table can be much work."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "track_id")
+    """Tracks dealt to all shuffle partitions: a count that is given isn't merged, and a small table can be much work. By ranges, as hashes put several of few tracks together."""
+    return rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "track_id")
 
 
 def spectral_clusters(affinity: DataFrame, frames: DataFrame, strategy: str = "eigengap", k: int | None = None, smooth: int | None = None) -> DataFrame:
